@@ -1,0 +1,190 @@
+"""Candidate pairs from segments: short runs of words, few of one text and all of the other.
+
+Let a text have n distinct pieces of five characters. Another text scores at least t with it only if ``lost + t * added <=
+(1 - t) * n``, where ``lost`` pieces of the text are missing in the other and ``added`` ones are new there. Whatever breaks a
+run of words somewhere breaks the pieces that span that place, so each run has a least price. Runs of one text that lie apart
+and whose prices sum to more than ``(1 - t) * n`` can't all be broken: a text that scores t holds at least one of them as it
+stands, at any position. So it is enough to look up such a choice of runs, the rarest ones, among all runs of the other texts.
+Texts too short or repetitive for such a choice look up pieces instead: of any ``floor((1 - t) * n) + 1`` pieces one remains.
+No bucket is capped and no position is excluded.
+"""
+
+from __future__ import annotations
+
+import bisect
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
+from . import codepoints as C
+from . import grams as G
+from .arrow import map_arrow
+
+WORDS, GAP = 3, 8  # words of a segment; characters between chosen segments, so that nothing cheaper than two edits breaks both
+
+
+def word_starts(codes: C.Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the words of key texts begin, and their rows."""
+    cp, off = codes
+    begins = np.zeros(len(cp), bool)
+    begins[1:] = cp[:-1] == 32
+    begins[off[:-1][off[:-1] < off[1:]]] = True
+    start = np.flatnonzero(begins)
+    return start, np.searchsorted(off, start, "right") - 1
+
+
+def segments(codes: C.Codes, words: int = WORDS):
+    """Start, end, row and hash of every run of ``words`` words."""
+    start, row = word_starts(codes)
+    if len(start) < words:
+        return start[:0], start[:0], row[:0], np.zeros(0, np.uint64)
+    k = np.arange(len(start) - words + 1)
+    k = k[row[k] == row[k + words - 1]]
+    nxt = np.append(start[1:] - 1, codes.off[-1])
+    nxt = np.where(np.append(row[1:] != row[:-1], True), codes.off[row + 1], nxt)  # a word ends before the blank, or with its text
+    s, e, r = start[k], nxt[k + words - 1], row[k]
+    return s, e, r, C.window_hashes(codes.cp, s, e - s, 21)
+
+
+def _counts(codes: C.Codes) -> np.ndarray:
+    return np.bincount(G.rows_of(G.distinct(G.packed(codes)[0])), minlength=len(codes.off) - 1)
+
+
+def with_counts(texts: DataFrame) -> DataFrame:
+    """kid, key, n: distinct key texts and their numbers of distinct pieces."""
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([piece.column("kid"), piece.column("key"), pa.array(_counts(C.decode(piece.column("key"))).astype(np.int32))], ["kid", "key", "n"])
+
+    return map_arrow(texts.select("kid", "key").dropDuplicates(["kid"]), run, "kid binary, key string, n int", "key")
+
+
+def prices(codes: C.Codes, s: np.ndarray, e: np.ndarray, row: np.ndarray, t: float) -> np.ndarray:
+    """The least that breaking each run [s, e) costs; 0 at a text's ends, where an edit spans next to nothing."""
+    pack, at = G.packed(codes)
+    uniq, where, many = np.unique(pack, return_inverse=True, return_counts=True)
+    here, once = np.zeros(len(codes.cp) + 1, np.int32), np.zeros(len(codes.cp) + 1, np.int32)
+    here[at + 1] = 1
+    once[at + 1] = many[where] == 1
+    here, once = np.cumsum(here), np.cumsum(once)
+    p = np.arange(len(codes.cp) + 1)
+    base = codes.off[:-1][np.clip(np.searchsorted(codes.off, p, "right") - 1, 0, len(codes.off) - 2)]
+    low = np.maximum(p - (G.N - 1), base)
+    price = (once[p] - once[low]) + t * (here[p] - here[low])
+    price[codes.off] = 0
+    bounds = np.stack([s, e + 1], 1).ravel()
+    return np.minimum.reduceat(np.append(price, 0.0), bounds)[::2] if len(s) else np.zeros(0)
+
+
+def _all(piece: pa.RecordBatch) -> pa.RecordBatch:
+    codes = C.decode(piece.column("key"))
+    s, e, row, h = segments(codes)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), piece.column("kid").take(pa.array(row)), piece.column("n").take(pa.array(row)), pa.array((s - codes.off[row]).astype(np.int32))], ["h", "kid", "n", "pos"])
+
+
+def _pieces(piece: pa.RecordBatch) -> pa.RecordBatch:
+    codes = C.decode(piece.column("key"))
+    pack = G.distinct(G.packed(codes)[0])
+    row = G.rows_of(pack)
+    h = C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), piece.column("kid").take(pa.array(row)), piece.column("n").take(pa.array(row)), pa.array(np.full(len(row), -1, np.int32))], ["h", "kid", "n", "pos"])
+
+
+ROWS = "h long, kid binary, n int, pos int"
+
+
+def bucket(n, t: float):
+    """Sizes that can score t with one another lie in the same or in neighbouring buckets."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-math.log(t))).cast("int")
+
+
+def choose(batch_rows, need: float) -> list[int]:
+    """Indices of runs that lie apart and whose prices sum to more than ``need``: rarest first, else as many as fit; [] if neither."""
+    for order in (sorted(range(len(batch_rows)), key=lambda i: batch_rows[i][0]), sorted(range(len(batch_rows)), key=lambda i: batch_rows[i][2])):
+        taken: list[tuple[int, int]] = []
+        out, total = [], 0.0
+        for i in order:
+            _, s, e, price = batch_rows[i]
+            if price <= 0:
+                continue
+            k = bisect.bisect(taken, (s, e))
+            if k and taken[k - 1][1] + GAP > s or k < len(taken) and e + GAP > taken[k][0]:
+                continue
+            taken.insert(k, (s, e))
+            out.append(i)
+            total += price
+            if total > need + 1e-9:
+                return out
+    return []
+
+
+def lookups(queries: DataFrame, frequency: DataFrame, t: float) -> DataFrame:
+    """The chosen runs of each query text (ROWS; pos is -1 for pieces): h is looked up among the runs of the other texts.
+
+    frequency: h and df, how many of the other texts' runs have the hash.
+    """
+
+    def priced(piece: pa.RecordBatch) -> pa.RecordBatch:
+        codes = C.decode(piece.column("key"))
+        s, e, row, h = segments(codes)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), piece.column("kid").take(pa.array(row)), pa.array((s - codes.off[row]).astype(np.int32)), pa.array((e - codes.off[row]).astype(np.int32)), pa.array(prices(codes, s, e, row, t).astype(np.float32))],
+            ["h", "kid", "s", "e", "price"],
+        )
+
+    runs = map_arrow(queries, priced, "h long, kid binary, s int, e int, price float", "key").where("price > 0")
+    runs = runs.join(frequency, "h", "left").select("kid", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "s", "e", "price").alias("run"))
+    grouped = queries.select("kid", "key", "n").join(runs.groupBy("kid").agg(F.collect_list("run").alias("runs")), "kid", "left")
+
+    def chosen(batches):
+        for batch in batches:
+            h, kid, n, pos = [], [], [], []
+            short = []
+            for k, size, runs in zip(batch.column("kid").to_pylist(), batch.column("n").to_pylist(), batch.column("runs")):
+                listed = runs.values.flatten() if runs.is_valid and len(runs) else None
+                picked: list[int] = []
+                if listed is not None:
+                    df, hh, s, e, price = (np.asarray(c) for c in listed)
+                    rows = list(zip(df.tolist(), s.tolist(), e.tolist(), price.tolist()))
+                    picked = choose(rows, (1 - t) * size)
+                if picked:
+                    for i in picked:
+                        if rows[i][0]:
+                            h.append(int(hh[i])), kid.append(k), n.append(size), pos.append(rows[i][1])
+                short.append(not picked and size > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kid, pa.binary()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())], ["h", "kid", "n", "pos"])
+            if any(short):
+                rest = batch.filter(pa.array(short))
+                for at in range(0, rest.num_rows, 256):
+                    one = rest.slice(at, 256)
+                    every = _pieces(one)
+                    ids = np.asarray(every.column("kid").dictionary_encode().indices)
+                    sizes = np.asarray(every.column("n"))
+                    order = np.lexsort((np.asarray(every.column("h")), ids))
+                    first = np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
+                    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+                    yield every.take(pa.array(order[rank < np.floor((1 - t) * sizes[order] + 1e-9) + 1]))
+
+    return grouped.mapInArrow(chosen, ROWS)
+
+
+def candidates(queries: DataFrame, others: DataFrame, t: float = G.THRESHOLD, same: bool = False) -> DataFrame:
+    """kid_a (of queries), kid_b (of others), hits, pos_a, pos_b: every pair of different key texts that can score t, and more.
+
+    Both tables: kid, key, n. same: they are one table; each pair then comes once, looked up by its smaller text.
+    """
+    runs = map_arrow(others, _all, ROWS, "key")
+    frequency = runs.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    asked = cut(lookups(queries, frequency, t))
+    sizes = {r[0] for r in asked.where("pos < 0").select(bucket(F.col("n"), t)).distinct().collect()}  # as many as there are orders of size
+    if sizes:
+        near = sorted({b + d for b in sizes for d in (-1, 0, 1)})
+        runs = runs.unionByName(map_arrow(others.where(bucket(F.col("n"), t).isin(near)), _pieces, ROWS, "key"))
+    a, b = asked.alias("a"), runs.alias("b")
+    apart = "(a.n < b.n or a.n = b.n and a.kid < b.kid)" if same else "a.kid <> b.kid"
+    found = a.join(b, "h").where(f"{apart} and a.n >= {t} * b.n - 1e-9 and b.n >= {t} * a.n - 1e-9 and (a.pos < 0) = (b.pos < 0)")
+    return found.groupBy(F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).agg(F.count(F.lit(1)).alias("hits"), F.min("a.pos").alias("pos_a"), F.min_by("b.pos", "a.pos").alias("pos_b"))
