@@ -11,7 +11,6 @@ No bucket is capped and no position is excluded.
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
@@ -22,9 +21,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import codepoints as C
 from . import grams as G
-from .arrow import map_arrow
+from .arrow import map_arrow, pieces
 
-WORDS, GAP = 3, 8  # words of a segment; characters between chosen segments, so that nothing cheaper than two edits breaks both
+WORDS = 3  # of a segment
+GAP, WHOLE = 3, 7.4  # least characters between chosen segments; from how many on no one edit breaks both for less than both prices
 
 
 def word_starts(codes: C.Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -50,17 +50,27 @@ def segments(codes: C.Codes, words: int = WORDS):
     return s, e, r, C.window_hashes(codes.cp, s, e - s, 21)
 
 
-def _counts(codes: C.Codes) -> np.ndarray:
-    return np.bincount(G.rows_of(G.distinct(G.packed(codes)[0])), minlength=len(codes.off) - 1)
+BITS = tuple(f"b{k}" for k in range(6))  # 64 parities each
+CARRIED = ("kid", "n", *BITS)
+TEXTS = "kid binary, key string, n int, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def with_counts(texts: DataFrame) -> DataFrame:
-    """kid, key, n: distinct key texts and their numbers of distinct pieces."""
+    """TEXTS: distinct key texts, their numbers of distinct pieces, and parities of those pieces.
+
+    Two sets differ in at least as many elements as their parities do, so a pair whose parities differ in too many is no pair.
+    """
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([piece.column("kid"), piece.column("key"), pa.array(_counts(C.decode(piece.column("key"))).astype(np.int32))], ["kid", "key", "n"])
+        pack = G.distinct(G.packed(C.decode(piece.column("key")))[0])
+        row = G.rows_of(pack)
+        n = np.bincount(row, minlength=piece.num_rows)
+        bit = (C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 41) % np.uint64(64 * len(BITS))).astype(np.int64)
+        odd = (np.bincount(row * (64 * len(BITS)) + bit, minlength=piece.num_rows * 64 * len(BITS)) & 1).astype(np.uint8)
+        words = np.packbits(odd.reshape(piece.num_rows, len(BITS), 64), axis=2).reshape(piece.num_rows, len(BITS), 8).view(np.int64)[:, :, 0]
+        return pa.RecordBatch.from_arrays([piece.column("kid"), piece.column("key"), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(BITS)))], ["kid", "key", "n", *BITS])
 
-    return map_arrow(texts.select("kid", "key").dropDuplicates(["kid"]), run, "kid binary, key string, n int", "key")
+    return map_arrow(texts.select("kid", "key").dropDuplicates(["kid"]), run, TEXTS, "key")
 
 
 def prices(codes: C.Codes, s: np.ndarray, e: np.ndarray, row: np.ndarray, t: float) -> np.ndarray:
@@ -80,21 +90,28 @@ def prices(codes: C.Codes, s: np.ndarray, e: np.ndarray, row: np.ndarray, t: flo
     return np.minimum.reduceat(np.append(price, 0.0), bounds)[::2] if len(s) else np.zeros(0)
 
 
+def _carry(piece: pa.RecordBatch, h: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), *(piece.column(c).take(at) for c in CARRIED)], ["h", "pos", *CARRIED])
+
+
+def _hashes(piece: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(segments(C.decode(piece.column("key")))[3].view(np.int64))], ["h"])
+
+
 def _all(piece: pa.RecordBatch) -> pa.RecordBatch:
     codes = C.decode(piece.column("key"))
-    s, e, row, h = segments(codes)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), piece.column("kid").take(pa.array(row)), piece.column("n").take(pa.array(row)), pa.array((s - codes.off[row]).astype(np.int32))], ["h", "kid", "n", "pos"])
+    s, _, row, h = segments(codes)
+    return _carry(piece, h, row, s - codes.off[row])
 
 
 def _pieces(piece: pa.RecordBatch) -> pa.RecordBatch:
-    codes = C.decode(piece.column("key"))
-    pack = G.distinct(G.packed(codes)[0])
+    pack = G.distinct(G.packed(C.decode(piece.column("key")))[0])
     row = G.rows_of(pack)
-    h = C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), piece.column("kid").take(pa.array(row)), piece.column("n").take(pa.array(row)), pa.array(np.full(len(row), -1, np.int32))], ["h", "kid", "n", "pos"])
+    return _carry(piece, C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31), row, np.full(len(row), -1))
 
 
-ROWS = "h long, kid binary, n int, pos int"
+ROWS = "h long, pos int, kid binary, n int, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def bucket(n, t: float):
@@ -102,23 +119,62 @@ def bucket(n, t: float):
     return F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-math.log(t))).cast("int")
 
 
-def choose(batch_rows, need: float) -> list[int]:
-    """Indices of runs that lie apart and whose prices sum to more than ``need``: rarest first, else as many as fit; [] if neither."""
-    for order in (sorted(range(len(batch_rows)), key=lambda i: batch_rows[i][0]), sorted(range(len(batch_rows)), key=lambda i: batch_rows[i][2])):
-        taken: list[tuple[int, int]] = []
-        out, total = [], 0.0
-        for i in order:
-            _, s, e, price = batch_rows[i]
-            if price <= 0:
-                continue
-            k = bisect.bisect(taken, (s, e))
-            if k and taken[k - 1][1] + GAP > s or k < len(taken) and e + GAP > taken[k][0]:
-                continue
-            taken.insert(k, (s, e))
-            out.append(i)
-            total += price
-            if total > need + 1e-9:
-                return out
+def choose(df: np.ndarray, s: np.ndarray, e: np.ndarray, price: np.ndarray, need: float) -> list[int]:
+    """Indices of runs that lie apart and whose prices sum to more than ``need``, with the rarest possible commonest one.
+
+    The runs, in text order, are taken whenever one ends first of those rare enough, which fits in the most; the bar on
+    rarity is raised until the prices suffice. Near runs can be broken by one deletion of what lies between and a little of
+    each, so they are worth less. [] if all runs don't suffice.
+    """
+    bar, most = 0, int(df.max(initial=0))
+    while True:
+        rare = np.flatnonzero(df <= bar).tolist()
+        out = _first_ends(rare, s, e, price, need) or _dearest(rare, s, e, price, need)
+        if out or bar >= most:
+            return out
+        bar = max(1, bar * 4)
+
+
+def _first_ends(rare: list[int], s, e, price, need: float) -> list[int]:
+    out, total, end, last = [], 0.0, -(10**9), 0.0
+    for i in rare:
+        gap = s[i] - end
+        if gap < GAP:
+            continue
+        worth = price[i]
+        if gap < WHOLE:
+            loss = (WHOLE - gap) / 2
+            worth -= loss
+            total -= min(loss, last)
+        out.append(i)
+        total += worth
+        end, last = e[i], worth
+        if total > need + 1e-9:
+            return out
+    return []
+
+
+def _dearest(rare: list[int], s, e, price, need: float) -> list[int]:
+    """The choice of the greatest sum of prices, by a dynamic program over the runs in order of their ends."""
+    best: list[tuple[float, int]] = []  # sum of the best choice that ends with the run; the run before it
+    top: list[tuple[float, int]] = []  # the best of all so far
+    for k, i in enumerate(rare):
+        value, before, j = 0.0, -1, k - 1
+        while j >= 0 and s[i] - e[rare[j]] < WHOLE:
+            gap = s[i] - e[rare[j]]
+            if gap >= GAP and best[j][0] - (WHOLE - gap) > value:
+                value, before = best[j][0] - (WHOLE - gap), j
+            j -= 1
+        if j >= 0 and top[j][0] > value:
+            value, before = top[j]
+        best.append((value + price[i], before))
+        top.append(max(top[-1], (best[-1][0], k)) if top else (best[-1][0], k))
+        if top[-1][0] > need + 1e-9:
+            out, k = [], top[-1][1]
+            while k >= 0:
+                out.append(rare[k])
+                k = best[k][1]
+            return out[::-1]
     return []
 
 
@@ -138,47 +194,45 @@ def lookups(queries: DataFrame, frequency: DataFrame, t: float) -> DataFrame:
 
     runs = map_arrow(queries, priced, "h long, kid binary, s int, e int, price float", "key").where("price > 0")
     runs = runs.join(frequency, "h", "left").select("kid", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "s", "e", "price").alias("run"))
-    grouped = queries.select("kid", "key", "n").join(runs.groupBy("kid").agg(F.collect_list("run").alias("runs")), "kid", "left")
+    grouped = queries.join(runs.groupBy("kid").agg(F.collect_list("run").alias("runs")), "kid", "left")
 
     def chosen(batches):
         for batch in batches:
-            h, kid, n, pos = [], [], [], []
-            short = []
-            for k, size, runs in zip(batch.column("kid").to_pylist(), batch.column("n").to_pylist(), batch.column("runs")):
-                listed = runs.values.flatten() if runs.is_valid and len(runs) else None
+            rows, hashes, places, short = [], [], [], []
+            for k, (size, runs) in enumerate(zip(batch.column("n").to_pylist(), batch.column("runs"))):
                 picked: list[int] = []
-                if listed is not None:
-                    df, hh, s, e, price = (np.asarray(c) for c in listed)
-                    rows = list(zip(df.tolist(), s.tolist(), e.tolist(), price.tolist()))
-                    picked = choose(rows, (1 - t) * size)
-                if picked:
-                    for i in picked:
-                        if rows[i][0]:
-                            h.append(int(hh[i])), kid.append(k), n.append(size), pos.append(rows[i][1])
+                if runs.is_valid and len(runs):
+                    df, h, s, e, price = (np.asarray(c) for c in runs.values.flatten())
+                    order = np.argsort(e, kind="stable")
+                    df, h, s, e, price = df[order], h[order], s[order], e[order], price[order]
+                    picked = choose(df, s.tolist(), e.tolist(), price.tolist(), (1 - t) * size)
+                for i in picked:
+                    if df[i]:
+                        rows.append(k), hashes.append(h[i]), places.append(s[i])
                 short.append(not picked and size > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kid, pa.binary()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())], ["h", "kid", "n", "pos"])
+            if rows:
+                yield _carry(batch, np.array(hashes, np.int64).view(np.uint64), np.array(rows), np.array(places))
             if any(short):
                 rest = batch.filter(pa.array(short))
-                for at in range(0, rest.num_rows, 256):
-                    one = rest.slice(at, 256)
-                    every = _pieces(one)
+                for piece in pieces(rest, "key"):
+                    every = _pieces(piece)
                     ids = np.asarray(every.column("kid").dictionary_encode().indices)
-                    sizes = np.asarray(every.column("n"))
                     order = np.lexsort((np.asarray(every.column("h")), ids))
                     first = np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
                     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                    yield every.take(pa.array(order[rank < np.floor((1 - t) * sizes[order] + 1e-9) + 1]))
+                    yield every.take(pa.array(order[rank < np.floor((1 - t) * np.asarray(every.column("n"))[order] + 1e-9) + 1]))
 
     return grouped.mapInArrow(chosen, ROWS)
 
 
-def candidates(queries: DataFrame, others: DataFrame, t: float = G.THRESHOLD, same: bool = False) -> DataFrame:
+def candidates(queries: DataFrame, others: DataFrame, t: float = G.THRESHOLD, same: bool = False, parities: bool = True) -> DataFrame:
     """kid_a (of queries), kid_b (of others), hits, pos_a, pos_b: every pair of different key texts that can score t, and more.
 
-    Both tables: kid, key, n. same: they are one table; each pair then comes once, looked up by its smaller text.
+    Both tables: TEXTS. same: they are one table; each pair then comes once, looked up by its smaller text. parities: leave out,
+    within the join, pairs whose sets must differ in too many pieces.
     """
+    frequency = map_arrow(others.select("key"), _hashes, "h long", "key").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     runs = map_arrow(others, _all, ROWS, "key")
-    frequency = runs.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     asked = cut(lookups(queries, frequency, t))
     sizes = {r[0] for r in asked.where("pos < 0").select(bucket(F.col("n"), t)).distinct().collect()}  # as many as there are orders of size
     if sizes:
@@ -186,5 +240,6 @@ def candidates(queries: DataFrame, others: DataFrame, t: float = G.THRESHOLD, sa
         runs = runs.unionByName(map_arrow(others.where(bucket(F.col("n"), t).isin(near)), _pieces, ROWS, "key"))
     a, b = asked.alias("a"), runs.alias("b")
     apart = "(a.n < b.n or a.n = b.n and a.kid < b.kid)" if same else "a.kid <> b.kid"
-    found = a.join(b, "h").where(f"{apart} and a.n >= {t} * b.n - 1e-9 and b.n >= {t} * a.n - 1e-9 and (a.pos < 0) = (b.pos < 0)")
+    differ = f" and {' + '.join(f'bit_count(a.{x} ^ b.{x})' for x in BITS)} <= {(1 - t) / (1 + t)} * (a.n + b.n) + 1e-9" if parities else ""
+    found = a.join(b, "h").where(f"{apart} and a.n >= {t} * b.n - 1e-9 and b.n >= {t} * a.n - 1e-9 and (a.pos < 0) = (b.pos < 0){differ}")
     return found.groupBy(F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).agg(F.count(F.lit(1)).alias("hits"), F.min("a.pos").alias("pos_a"), F.min_by("b.pos", "a.pos").alias("pos_b"))
