@@ -22,7 +22,7 @@ import pyarrow as pa
 LOOKALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
-    "Т": "T", "Х": "X", "Ү": "Y", "Ԁ": "D", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Һ": "h",
+    "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԁ": "D", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Һ": "h",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ԁ": "d", "һ": "h",
     "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y",
     # Greek
@@ -35,7 +35,7 @@ LOOKALIKES = {
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
     "Ꭱ": "R", "Ꮥ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Ᏻ": "G", "Ꭵ": "i",
     # phonetic and small-capital forms of Latin letters
-    "ɑ": "a", "ɡ": "g", "ʏ": "y", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᴏ": "o", "ᴄ": "c", "ꜱ": "s", "ǀ": "l",
+    "ɑ": "a", "Ɑ": "A", "ɡ": "g", "Ɡ": "G", "ʏ": "y", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᴏ": "o", "ᴄ": "c", "ꜱ": "s", "ǀ": "l",
     # Coptic, Lisu
     "Ⲟ": "O", "ⲟ": "o", "Ⲥ": "C", "ⲥ": "c", "Ⲣ": "P", "ⲣ": "p", "ꓐ": "B", "ꓑ": "P", "ꓒ": "d", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G",
     "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H",

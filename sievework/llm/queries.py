@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import forms, splits
+from . import forms, leakage, neardup, spans, splits
 
 # The families that are held out.
 HELD_OUT = ("mcptox_t3", "bipia_code", "bipia_text", "shadowing")
@@ -37,5 +37,41 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [neardup.near_duplicates(table(spark, folder, t, "id", "text")).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t in ("quoting_dev", "shadowing")]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [neardup.groups(table(spark, folder, t, "id", "text")).select(F.lit(t).alias("table_name"), "id", "class_id", "members", "links") for t in ("quoting_dev", "shadowing")]
+    return parts[0].unionByName(parts[1])
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [table(spark, folder, t, "id", "text").select(F.lit(t).alias("table_name"), F.col("id").alias("rec_id"), "text") for t in ("item", "quoting_dev")]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_spans(_records(spark, folder))
+
+
+def p5_shared_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    records = _records(spark, folder)
+    return spans.shared_amounts(records, spans.shared_spans(records))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "quoting_frozen", "id", "text"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p7_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.removal_spans(_leaks(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
