@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import forms, leakage, neardup, spans, splits
+from . import canonical, forms, leakage, neardup, packing, residue, spans, splits
 
 # The families that are held out.
 HELD_OUT = ("mcptox_t3", "bipia_code", "bipia_text", "shadowing")
@@ -37,6 +37,23 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "technique_label", "label", "title")
+    exact = labels.select(F.col("label").alias("technique"))  # an equality join; the list may be of any size
+    typed = table(spark, folder, "shadowing", "id", "technique").where("technique is not null and technique <> 'TEMPLATE'").join(exact, "technique", "left_anti")
+    return canonical.canonical(typed, "technique", labels).select("id", "label").distinct()
+
+
+def p3_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with its label: exact ones, matched ones and, for values that belong to none, ``unmatched``."""
+    rows = table(spark, folder, "shadowing", "id", "technique").distinct()
+    return canonical.canonical(rows, "technique", table(spark, folder, "technique_label", "label", "title"))
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_labels(spark, folder).where("label = 'unmatched' and technique <> 'TEMPLATE'").groupBy("technique").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [neardup.near_duplicates(table(spark, folder, t, "id", "text")).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t in ("quoting_dev", "shadowing")]
     return parts[0].unionByName(parts[1])
@@ -73,5 +90,24 @@ def p7_removal_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.removal_spans(_leaks(spark, folder))
 
 
+def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all documents in containers of each capacity, in tokens of the public byte-level BPE of 50,257 entries."""
+    return packing.packed(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "token_budget", "budget_id", "capacity_tokens"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p6_packing(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without those found."""
+    docs = table(spark, folder, "documents", "doc_id", "source", "n_chars")
+    return docs.join(p8_found(spark, folder), "doc_id", "left_anti")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}

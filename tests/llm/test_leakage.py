@@ -53,7 +53,7 @@ def test_against_brute_force(spark, block):
     item_rows = [(f"q{k}", " ".join(rng.choices(vocabulary, k=rng.choice([5, 11, 12, 13, 40]))), 1) for k in range(25)]
     item_rows += [item_rows[3], ("null", None, 1), (None, "x " * 20, 1)]
     docs = []
-    for k in range(120):
+    for k in range(300):
         w = rng.choices(vocabulary, k=rng.choice([0, 3, 50]))
         if rng.random() < 0.6:
             src = re.findall(r"[^\W_]+", plain(rng.choice(item_rows[:25])[1]))
