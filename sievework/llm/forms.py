@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import codepoints as C
-from .arrow import map_arrow, one_per_id
+from ..functions.batches import map_arrow, one_per_id
 
 
 def with_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sets of character pieces of key texts, and the exact score of pairs (Jaccard over sets of five-character pieces)."""
+"""Key texts of the training-data operators: consistent form, folded; and rows of pairs of key texts."""
 
 from __future__ import annotations
 
@@ -7,47 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_arrow, one_per_id
+from ..operators.pieces import N, ROW_BITS, THRESHOLD, distinct, packed, rows_of, scores
 from . import codepoints as C
-from .arrow import map_arrow, one_per_id
 
-N, THRESHOLD = 5, 0.85
-ROW_BITS = 12  # of a packed piece: the row within its batch; the rest is the piece's hash
-
-
-def positions(codes: C.Codes, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, size and row of every piece: all runs of n code points, or the whole of a shorter text that isn't empty."""
-    sizes = np.diff(codes.off)
-    count = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
-    row = np.repeat(np.arange(len(sizes)), count)
-    start = codes.off[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return start, np.minimum(n, sizes[row]), row
-
-
-def packed(codes: C.Codes, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every piece in one word (rows below 4096), and the piece's start."""
-    start, size, row = positions(codes, n)
-    h = C.window_hashes(codes.cp, start, size, 11)
-    return (row.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (h >> np.uint64(ROW_BITS)), start
-
-
-def distinct(pack: np.ndarray) -> np.ndarray:
-    pack = np.sort(pack)
-    return pack[np.concatenate([[True], pack[1:] != pack[:-1]])] if len(pack) else pack
-
-
-def rows_of(pack: np.ndarray) -> np.ndarray:
-    return (pack >> np.uint64(64 - ROW_BITS)).astype(np.int64)
-
-
-def scores(a: C.Codes, b: C.Codes) -> np.ndarray:
-    """Jaccard of row i of a and row i of b; two empty texts score 1."""
-    rows = len(a.off) - 1
-    x, y = distinct(packed(a)[0]), distinct(packed(b)[0])
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = np.bincount(rows_of(both[1:][both[1:] == both[:-1]]), minlength=rows)
-    total = np.bincount(rows_of(both), minlength=rows) - shared
-    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+__all__ = ["N", "ROW_BITS", "THRESHOLD", "distinct", "expand_pairs", "keyed", "packed", "rows_of", "scores"]
 
 
 def keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:

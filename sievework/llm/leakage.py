@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import one_per_id, pieces
 from ..session import cut
 from . import codepoints as C
-from .arrow import one_per_id, pieces
 from .spans import merged
 
 WORDS, SHARD, SAMPLE, BLOCK = 12, 4 << 20, 8, 100_000

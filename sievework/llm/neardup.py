@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_arrow
+from ..operators import segments as S
 from ..session import cut
 from . import codepoints as C
 from . import grams as G
-from . import segments as S
-from .arrow import map_arrow
 from .components import components
 
 HASHES, BLOCK, TOLERANCE = 128, 16, 1e-6

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import map_arrow, one_per_id
 from ..session import cut
-from .arrow import map_arrow, one_per_id
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 512, 3, 2, 12, 6

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_arrow
+from ..operators import segments as S
 from ..session import cut
 from . import codepoints as C
 from . import grams as G
-from . import segments as S
-from .arrow import map_arrow
 
 BAND = 0.1  # of the longer text's length: half the width of the dynamic program's band
 CELLS = 1 << 20
