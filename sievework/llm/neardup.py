@@ -26,6 +26,7 @@ from . import grams as G
 from .components import components
 
 HASHES, BLOCK, TOLERANCE = 128, 16, 1e-6
+ALIKE = 0.7  # candidates whose parities rule out this similarity aren't made; between it and the threshold the posterior decides
 
 
 def signatures(codes: C.Codes, hashes: int = HASHES) -> np.ndarray:
@@ -74,7 +75,7 @@ def pruned(a: np.ndarray, b: np.ndarray, t: float, tolerance: float, block: int
 
 def similar_keys(texts: DataFrame, t: float = G.THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """kid_a, kid_b, score: pairs of different key texts (S.TEXTS) that score t or more."""
-    pairs = S.candidates(texts, texts, t, same=True, parities=False).select("kid_a", "kid_b")
+    pairs = S.candidates(texts, texts, t, same=True, alike=min(t, ALIKE)).select("kid_a", "kid_b")
 
     def sign(piece: pa.RecordBatch) -> pa.RecordBatch:
         values = signatures(C.decode(piece.column("key"))).tobytes()

@@ -71,7 +71,7 @@ def test_against_brute_force(spark, block):
     texts, items = {r[0]: plain(r[1] or "") for r in docs}, {r[0]: r[1] for r in item_rows}
     for r in rows:
         for s in r.spans:
-            w = words(texts[r.doc_id][s.start : s.end])
-            assert len(w) >= 12 and any(w[:12] == (v := words(items[r.item_id]))[k : k + 12] for k in range(len(v)))
+            w, v = words(texts[r.doc_id][s.start : s.end]), words(items[r.item_id])
+            assert len(w) >= 12 and any(w[:12] == v[k : k + 12] for k in range(len(v)))
     assert removal_spans(found).count() > 0
     assert leaks(d.limit(0), q).count() == 0 and leaks(d, q.limit(0)).count() == 0
