@@ -4,10 +4,14 @@ Texts are taken in consistent form; what they quote (code, inline code, quoted w
 placeholders or error messages quotes them. The rest is cut into units (lines and sentences).
 
 Slots are induced from units of one template: units that begin alike (or, if they begin with a slot, end alike) are aligned, and for
-each such template it is counted in how many units a slot holds a variable name, a default or a blank, and in how many a word. A
-variable in a template that others fill with words was never filled in; where nearly all units of a frequent template hold one, it
-belongs to the text. Error pages and notices are known by how they begin; a unit that has only words of theirs counts if, numbers and codes aside, it is a
-whole line or sentence that recurs verbatim in several documents, as pages made by a server do and sentences of a text don't.
+each such template it is counted in how many wordings a slot holds a variable name or a blank, and in how many units a word. A
+variable in a template that others fill with words was never filled in; where surely nearly all wordings of a template hold one, it
+belongs to the text. Delimiters that only template fields have need no such count. Error pages and notices are known by how they
+begin; a unit that has only words of theirs counts if, numbers and codes aside, it is a whole line or sentence that recurs verbatim in
+several texts, as pages made by a server do and sentences of a text don't.
+
+Counts are over distinct texts, so copies of a text add nothing. Only a page that such units make up by half or more counts with
+each of its documents: a server sends the same page again and again.
 
 Defined cases: documents without id are left out, null, empty and merely short texts aren't residue; repeated rows count once in the
 result; an empty table gives an empty result.
@@ -22,15 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.batches import pieces
+from ..functions.batches import map_arrow
+from ..functions.stats import wilson
 from ..session import cut
 from . import codepoints as C
 
 NOTICE = 12  # words of a recurring notice at most; passages that are passed on are longer
-REPEATS = 5  # documents in which a unit with words of error pages must recur
-OWN_SHARE, OWN_UNITS = 0.9, 20  # a template of so many units whose slot is a variable in so great a share has it as its own
+REPEATS = 5  # texts in which a unit with words of error pages must recur
+OWN_SHARE, Z = 0.9, 1.645  # a template has a variable as its own if the share of such wordings is surely (95 %, Wilson) so great
 
 NAME = r"[A-Za-z][\w.\- ]{0,40}?"
 # Delimiters of template fields. The first group is used for nothing else in running text.
@@ -103,67 +107,62 @@ def dummy(words: list[str]) -> bool:
     return len(words) >= 3 and bool(DUMMY.match(words[0]) or DUMMY.match(words[1])) and sum(bool(DUMMY.match(w.strip(".,;:"))) for w in words) >= 0.7 * len(words)
 
 
-def examine(text: str) -> tuple[bool, list[tuple[str, bool]], list[str], list[str]]:
-    """Whether a text surely has residue; its templates, each with whether a slot is unfilled there; the templates by which that
-    is to be decided; units to be counted."""
-    sure, aligned, undecided, recurring = False, [], [], []
+def examine(text: str) -> tuple[bool, list[str], list[tuple[str, str]], tuple[list[str], bool]]:
+    """Whether a text surely has residue; the templates of its units without a slot; templates and wordings of those with one, by
+    which it is to be decided; units to be counted, and whether they make up the page."""
+    sure, filled, undecided, recurring, signs, size = False, [], [], [], 0, 0
     for unit in units(text):
         field = DELIMITERS.search(unit) and STRONG.search(unit)
         weak = None if field or not DELIMITERS.search(unit) else WEAK.search(unit) or BLANK.search(unit)
         marked = STRONG.sub(SLOT, unit) if field else BLANK.sub(SLOT, WEAK.sub(SLOT, unit)) if weak else unit
         words = WORDS.findall(marked) if field or weak else unit.split()
-        keys = [k for k in (template(words),) if k]
-        aligned += [(k, bool(field or weak)) for k in keys]
-        if field or weak:
-            # a unit that is nothing but the field, or greets with it, needs no others to tell
-            if not keys:
-                sure = sure or bool(field) or len(words) <= 3 and bool(WEAK.search(unit))
-            undecided += keys
+        key = template(words)
+        if weak and key:
+            undecided.append((key, CODES.sub("0", marked.lower())))
+        elif key and not field:
+            filled.append(key)
+        # a unit that is nothing but the field, or greets with it, needs no others to tell
+        sure = sure or bool(field) or bool(weak) and not key and len(words) <= 3 and bool(WEAK.search(unit))
         if not sure:
             sure = bool(FILLER.fullmatch(unit) or DEFAULT.fullmatch(unit) or dummy(words) or MESSAGES.match(unit.lstrip(" \t([{<¡!*_#")))
-        if sure:
-            continue
+        size += len(words)
         if len(words) <= NOTICE and CITED not in unit and any(s in (low := unit.lower()) for s in STEMS) and SIGNS.search(low):
             recurring.append(CODES.sub("0", low))
-    return sure, aligned, undecided, recurring
+            signs += len(words)
+    return sure, filled, undecided, (recurring, 2 * signs >= size)
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeats: int = REPEATS) -> DataFrame:
     """doc_id: the documents with unfilled fields, filler, messages of errors or refused access, or notices about scripts."""
-    kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("what", T.StringType()), T.StructField("key", T.LongType()), T.StructField("all", T.LongType()), T.StructField("open", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                forms = C.encode(C.consistent(C.decode(piece.column("text")))).to_pylist()
-                rows, what, keys, counts, opened = [], [], [], [], []
-                totals: Counter = Counter()
-                unfilled: Counter = Counter()
-                for k, form in enumerate(forms):
-                    sure, aligned, undecided, recurring = examine(form)
-                    if sure:
-                        rows.append(k), what.append("sure"), keys.append("")
-                    for key, is_open in aligned:
-                        totals[key] += 1
-                        unfilled[key] += is_open
-                    for kind_of, found in (("slot", undecided), ("unit", recurring)):
-                        for key in set(found):
-                            rows.append(k), what.append(kind_of), keys.append(key)
-                n = len(rows)
-                rows += [None] * len(totals)
-                what += ["template"] * len(totals)
-                keys += list(totals)
-                hashed = C.hashes(C.decode(pa.array(keys, pa.string())), 81).view(np.int64)
-                counts = [0] * n + list(totals.values())
-                opened = [0] * n + [unfilled[k] for k in totals]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(what, pa.string()), pa.array(hashed), pa.array(counts, pa.int64()), pa.array(opened, pa.int64())], ["doc_id", "what", "key", "all", "open"])
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
-    seen = cut(rows.mapInArrow(run, schema))
-    own = seen.where("what = 'template'").groupBy("key").agg(F.sum("all").alias("all"), F.sum("open").alias("open")).where(f"all >= {OWN_UNITS} and open >= {OWN_SHARE} * all").select("key")
-    unfilled = seen.where("what = 'slot'").select("doc_id", "key").join(own, "key", "left_anti").select("doc_id")
-    units_seen = seen.where("what = 'unit'").select("doc_id", "key").distinct()
-    pages = units_seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {repeats}").select("key")
-    repeated = units_seen.join(pages, "key", "left_semi").select("doc_id")
-    return seen.where("what = 'sure'").select("doc_id").unionByName(unfilled).unionByName(repeated).distinct()
+    schema = "kid binary, what string, key long, wording long, n long, page boolean"
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        forms = C.encode(C.consistent(C.decode(piece.column("text")))).to_pylist()
+        found: list[tuple] = []
+        totals: Counter = Counter()
+        for k, form in enumerate(forms):
+            sure, filled, undecided, (recurring, page) = examine(form)
+            if sure:
+                found.append((k, "sure", "", "", 0, False))
+            totals.update(filled)
+            found += [(k, "slot", key, wording, 0, False) for key, wording in set(undecided)]
+            found += [(k, "unit", key, "", 0, page) for key in set(recurring)]
+        found += [(None, "template", key, "", n, False) for key, n in totals.items()]
+        rows, what, keys, wordings, n, pages = zip(*found) if found else ((),) * 6
+        hashed = [pa.array(C.hashes(C.decode(pa.array(x, pa.string())), 81).view(np.int64)) for x in (keys, wordings)]
+        return pa.RecordBatch.from_arrays([piece.column("kid").take(pa.array(rows, pa.int64())), pa.array(what, pa.string()), *hashed, pa.array(n, pa.int64()), pa.array(pages, pa.bool_())], ["kid", "what", "key", "wording", "n", "page"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''").withColumn("kid", F.unhex(F.md5("text")))
+    ids = cut(rows.select("doc_id", "kid").distinct())
+    seen = cut(map_arrow(rows.groupBy("kid").agg(F.first("text").alias("text")), run, schema, "text"))
+    slots = seen.where("what = 'slot'").select("kid", "key", "wording")
+    words = seen.where("what = 'template'").groupBy("key").agg(F.sum("n").alias("filled"))
+    counts = slots.groupBy("key").agg(F.count_distinct("wording").alias("open")).join(words, "key", "left")
+    lower = wilson(F.col("open"), F.col("open") + F.coalesce("filled", F.lit(0)), Z)[0]
+    unfilled = slots.join(counts.where(lower >= OWN_SHARE).select("key"), "key", "left_anti").select("kid")
+    units_seen = seen.where("what = 'unit'").select("kid", "key", "page").distinct()
+    copies = ids.join(units_seen.where("page").select("kid").distinct(), "kid", "left_semi").groupBy("kid").agg(F.count(F.lit(1)).alias("copies"))
+    pages = units_seen.join(copies, "kid", "left").groupBy("key").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n")).where(f"n >= {repeats}").select("key")
+    repeated = units_seen.join(pages, "key", "left_semi").select("kid")
+    found = seen.where("what = 'sure'").select("kid").unionByName(unfilled).unionByName(repeated).distinct()
+    return ids.join(found, "kid", "left_semi").select("doc_id").distinct()

@@ -49,5 +49,19 @@ def test_recurring_notice(spark):
     assert residue(df.limit(0)).count() == 0
 
 
+def test_neither_copies_nor_growth_hide_an_unfilled_field(spark):
+    copied = [(k, "Please contact {owner} before noon today.") for k in range(30)]
+    grown = [(100 + k, f"{sentence(random.Random(k))}\n\nAsk the {{manager}} for a key, ticket {k}.") for k in range(30)]
+    strong = [(200 + k, f"Send the ${{form}} to {a} and keep {b} in order.") for k, (a, b) in enumerate((a, b) for a in WORDS[:6] for b in WORDS[6:])]
+    found = residue(spark.createDataFrame(copied + grown + strong, "doc_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {k for k, _ in copied + grown + strong}
+
+
+def test_copies_of_a_sound_text_are_no_recurring_notice(spark):
+    article = "\n\n".join([*(sentence(random.Random(k)) for k in range(4)), "A browser was bought by one team in May."])
+    rows = [(k, article) for k in range(8)] + [(100 + k, "The gadget wants a fresh browser") for k in range(6)]
+    assert sorted(r.doc_id for r in residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(100, 106))
+
+
 def test_long_text_in_bounded_time():
     assert examine("{" * 20000 + "a " * 50000 + "[" * 3000 + '"' * 3000)[0] in (True, False)
