@@ -1,6 +1,6 @@
 """Problem 4: near-duplicate records with small edits, by Bayesian pruning of candidates.
 
-Candidates come from segments (``segments``), which lose no pair that reaches the threshold. Each text has a signature of MinHash
+Candidates come from the rarest pieces (``segments``), which lose no pair that reaches the threshold. Each text has a signature of MinHash
 values over its five-character pieces. For a candidate pair the values are compared block by block; after each block the
 posterior probability that the similarity reaches the threshold, given the matches so far and a uniform prior, decides: below the
 tolerance the pair is dropped. What is left after the last block is verified by its exact score.

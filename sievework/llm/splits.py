@@ -1,7 +1,7 @@
 """Problem 1: same or near-same records across splits, by an edit-distance segment join.
 
-Evaluation texts are cut into segments such that a training text that scores the threshold must hold one of them (``segments``);
-training texts are looked up by all their runs of words, at every position, since the score doesn't see where a passage stands.
+Evaluation texts and training texts that score the threshold have one of their rarest pieces in common (``segments``), at any
+position, since the score doesn't see where a passage stands.
 Candidates go through a banded dynamic program over their edit distance, all pairs of a batch at once, and pairs leave it when
 no cell of the band is within the bound. An exact check of the score follows: a moved passage keeps its score whatever its
 distance, so a pair beyond the band is kept, with no distance, if it reaches the score.

@@ -1,24 +1,13 @@
-"""Candidate pairs from segments: short runs of words, few of one text and all of the other.
+"""Candidate pairs from the rarest pieces of both texts (prefix filter).
 
-Let a text have n distinct pieces of five characters. Another text scores at least t with it only if ``lost + t * added <=
-(1 - t) * n``, where ``lost`` pieces of the text are missing in the other and ``added`` ones are new there. Whatever breaks a
-run of words somewhere breaks the pieces that span that place, so each run has a least price; one edit that breaks two
-neighbouring runs breaks the pieces over the gap between them, which bounds what it costs. Runs of one text that don't overlap and
-whose prices, less what neighbours can be broken cheaper together, sum to more than ``(1 - t) * n`` can't all be broken: a text
-that scores t holds at least one of them as it stands, at any position. So it is enough to look up such a choice of runs, the rarest ones, among all runs of the other texts.
-Texts too short or repetitive for such a choice look up pieces instead: of any ``floor((1 - t) * n) + 1`` pieces one remains.
-No bucket is capped and no position is excluded.
-
-Prices hold for characters and stretches inserted, deleted, replaced or moved, repeated letters among them. A stretch of four or more
-characters repeated right after itself costs only its new pieces; a pair could be missed if such repeats, and nothing else, broke
-every chosen run of a text.
+Let all pieces of five characters have one fixed order. Two texts of ``n`` and ``m`` distinct pieces that score t share at least
+``ceil(t * max(n, m))`` of them, so among the first ``n - ceil(t * n) + 1`` pieces of the one and the first ``m - ceil(t * m) + 1`` of
+the other there is a common one, wherever it stands and however the rest is rearranged. Any order will do; rare pieces come first,
+by counts in a table of fixed size, so that few texts meet. No bucket is capped and no position is excluded.
 """
 
 from __future__ import annotations
 
-import math
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,35 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.batches import map_arrow
-from ..session import cut
 from . import pieces as G
 
-TIERS = (3, 2, 1)  # words of a segment; shorter ones for texts that longer ones don't suffice for
-SHORTEST = G.N  # characters of a segment, so that the pieces over the gaps on its two sides are different ones
-
-
-def word_starts(codes: C.Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the words of key texts begin, and their rows."""
-    cp, off = codes
-    begins = np.zeros(len(cp), bool)
-    begins[1:] = cp[:-1] == 32
-    begins[off[:-1][off[:-1] < off[1:]]] = True
-    start = np.flatnonzero(begins)
-    return start, np.searchsorted(off, start, "right") - 1
-
-
-def segments(codes: C.Codes, words: int = TIERS[0]):
-    """Start, end, row and hash of every run of ``words`` words."""
-    start, row = word_starts(codes)
-    if len(start) < words:
-        return start[:0], start[:0], row[:0], np.zeros(0, np.uint64)
-    k = np.arange(len(start) - words + 1)
-    k = k[row[k] == row[k + words - 1]]
-    nxt = np.append(start[1:] - 1, codes.off[-1])
-    nxt = np.where(np.append(row[1:] != row[:-1], True), codes.off[row + 1], nxt)  # a word ends before the blank, or with its text
-    s, e, r = start[k], nxt[k + words - 1], row[k]
-    return s, e, r, C.window_hashes(codes.cp, s, e - s, 21)
-
+COUNTERS = 1 << 20  # of pieces by hash; pieces that share one are taken as equally rare
 
 BITS = tuple(f"b{k}" for k in range(6))  # 64 parities each
 CARRIED = ("kid", "n", *BITS)
@@ -79,214 +42,54 @@ def with_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("kid", "key").dropDuplicates(["kid"]), run, TEXTS, "key")
 
 
-def prices(codes: C.Codes, s: np.ndarray, e: np.ndarray, row: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least that breaking each run [s, e) costs (0 at a text's ends, where an edit spans next to nothing), and two counts of
-    pieces that stand once: those that begin before the run, and those that end by its end. The first of a later run less the
-    second of an earlier one is how many stand over the gap between them.
-    """
-    pack, at = G.packed(codes)
-    _, where, many = np.unique(pack, return_inverse=True, return_counts=True)
-    here, once = np.zeros(len(codes.cp) + 1, np.int32), np.zeros(len(codes.cp) + 1, np.int32)
-    here[at + 1] = 1
-    once[at + 1] = many[where] == 1
-    here, once = np.cumsum(here), np.cumsum(once)
-    p = np.arange(len(codes.cp) + 1)
-    base = codes.off[:-1][np.clip(np.searchsorted(codes.off, p, "right") - 1, 0, len(codes.off) - 2)]
-    low = np.maximum(p - (G.N - 1), base)
-    # a letter repeated beside itself breaks one piece less for each equal letter there, and makes one new one less
-    same = np.zeros(len(codes.cp) + 1, bool)
-    same[1:-1] = codes.cp[1:] == codes.cp[:-1]
-    same[codes.off] = False
-    begins = np.flatnonzero(~same[:-1])
-    length = np.diff(np.append(begins, len(codes.cp)))
-    equal = np.repeat(length, length)
-    equal = np.maximum(np.append(equal, 1), np.append(1, equal))
-    price = np.maximum(once[p] - once[low] - equal, 0) + t * np.maximum(here[p] - here[low] + 1 - equal, 0)
-    price[codes.off] = 0
-    if not len(s):
-        return np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    least = np.minimum.reduceat(np.append(price, 0.0), np.stack([s, e + 1], 1).ravel())[::2]
-    return np.where(e - s >= SHORTEST, least, 0.0), once[s], once[np.maximum(e - (G.N - 1), codes.off[row])]
-
-
-def _carry(piece: pa.RecordBatch, h: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    at = pa.array(row)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), *(piece.column(c).take(at) for c in CARRIED)], ["h", "pos", *CARRIED])
-
-
-def _hashes(piece: pa.RecordBatch, words: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(segments(C.decode(piece.column("key")), words)[3].view(np.int64))], ["h"])
-
-
-def _all(piece: pa.RecordBatch, words: int) -> pa.RecordBatch:
-    codes = C.decode(piece.column("key"))
-    s, _, row, h = segments(codes, words)
-    return _carry(piece, h, row, s - codes.off[row])
-
-
-def _pieces(piece: pa.RecordBatch) -> pa.RecordBatch:
+def _hashed(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each distinct piece of the batch's texts."""
     pack = G.distinct(G.packed(C.decode(piece.column("key")))[0])
-    row = G.rows_of(pack)
-    return _carry(piece, C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31), row, np.full(len(row), PIECE))
-
+    return G.rows_of(pack), C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31)
 
-def _few_pieces(piece: pa.RecordBatch, t: float) -> pa.RecordBatch:
-    """Of each text so many pieces that one must remain."""
-    every = _pieces(piece)
-    ids, n = np.asarray(every.column("kid").dictionary_encode().indices), np.asarray(every.column("n"))
-    order = np.lexsort((np.asarray(every.column("h")), ids))
-    first = np.concatenate([[True], ids[order][1:] != ids[order][:-1]])[: len(order)]
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
-    return every.take(pa.array(order[rank < np.floor((1 - t) * n[order] + 1e-9) + 1]))
 
+def counts(texts: DataFrame) -> np.ndarray:
+    """In how many texts the pieces of each counter stand."""
 
-PIECE, NONE = -1, -2  # in the place of a run's place: a piece; a text whose runs don't suffice
-ROWS = "h long, pos int, kid binary, n int, " + ", ".join(f"{b} long" for b in BITS)
-
-
-def bucket(n, t: float):
-    """Sizes that can score t with one another lie in the same or in neighbouring buckets."""
-    return F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-math.log(t))).cast("int")
-
-
-class Runs(NamedTuple):
-    """A text's runs in order of their ends; see ``prices``."""
-
-    df: np.ndarray
-    s: list
-    e: list
-    price: list
-    before: list
-    by_end: list
-
-
-def choose(runs: Runs, need: float, t: float) -> list[int]:
-    """Indices of runs that don't overlap and whose prices, less the neighbours' losses, sum to more than ``need``, with the rarest
-    possible commonest one: the bar on rarity is raised until the prices suffice. [] if all runs don't suffice."""
-    bar, most = 0, int(runs.df.max(initial=0))
-    while True:
-        rare = np.flatnonzero(runs.df <= bar).tolist()
-        out = _first_ends(rare, runs, need, t) or _dearest(rare, runs, need, t)
-        if out or bar >= most:
-            return out
-        bar = max(1, bar * 4)
-
-
-def _loss(r: Runs, j: int, i: int, t: float) -> float:
-    """What one edit that breaks both runs saves against breaking each."""
-    return max(0.0, r.price[j] + r.price[i] - (r.before[i] - r.by_end[j] + t * (G.N - 1)))
-
-
-def _first_ends(rare: list[int], r: Runs, need: float, t: float) -> list[int]:
-    """Whichever ends first of the runs that fit."""
-    out: list[int] = []
-    total = 0.0
-    for i in rare:
-        if out and r.s[i] <= r.e[out[-1]]:
-            continue
-        worth = r.price[i] - (_loss(r, out[-1], i, t) if out else 0.0)
-        if worth <= 0.3 * r.price[i]:
-            continue
-        out.append(i)
-        total += worth
-        if total > need + 1e-9:
-            return out
-    return []
-
-
-def _dearest(rare: list[int], r: Runs, need: float, t: float) -> list[int]:
-    """The choice of the greatest sum, by a dynamic program over the runs in order of their ends."""
-    best: list[tuple[float, int]] = []  # sum of the best choice that ends with the run; the run before it
-    top: list[tuple[float, int]] = []  # the best of all so far
-    dear = max((r.price[i] for i in rare), default=0.0)
-    for k, i in enumerate(rare):
-        value, before, j = 0.0, -1, k - 1
-        while j >= 0:
-            if r.s[i] > r.e[rare[j]]:
-                if r.before[i] - r.by_end[rare[j]] + t * (G.N - 1) >= r.price[i] + dear:
-                    break  # no loss with this run or any that ends earlier
-                if (v := best[j][0] - _loss(r, rare[j], i, t)) > value:
-                    value, before = v, j
-            j -= 1
-        if j >= 0 and top[j][0] > value:
-            value, before = top[j]
-        best.append((value + r.price[i], before))
-        top.append(max(top[-1], (best[-1][0], k)) if top else (best[-1][0], k))
-        if top[-1][0] > need + 1e-9:
-            out, k = [], top[-1][1]
-            while k >= 0:
-                out.append(rare[k])
-                k = best[k][1]
-            return out[::-1]
-    return []
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        at, many = np.unique((_hashed(piece)[1] % np.uint64(COUNTERS)).astype(np.int32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(many)], ["at", "many"])
 
+    found = map_arrow(texts.select("key"), run, "at int, many long", "key").groupBy("at").agg(F.sum("many").alias("many")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("many").to_numpy()
+    return out
 
-def lookups(queries: DataFrame, frequency: DataFrame, t: float, words: int = TIERS[0]) -> DataFrame:
-    """The chosen runs of each query text (ROWS), to be looked up among the runs of the other texts; one row with pos NONE where
-    its runs don't suffice.
 
-    frequency: h and df, how many of the other texts' runs have the hash.
-    """
+def rarest(texts: DataFrame, shipped, t: float) -> DataFrame:
+    """ROWS: of each text the pieces of which a text that scores t has one among its own such pieces."""
 
-    def priced(piece: pa.RecordBatch) -> pa.RecordBatch:
-        codes = C.decode(piece.column("key"))
-        s, e, row, h = segments(codes, words)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), piece.column("kid").take(pa.array(row)), *(pa.array((x - codes.off[row]).astype(np.int32)) for x in (s, e)), *(pa.array(x.astype(np.float32)) for x in prices(codes, s, e, row, t))],
-            ["h", "kid", "s", "e", "price", "before", "by_end"],
-        )
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        row, h = _hashed(piece)
+        order = np.lexsort((h, shipped.value[(h % np.uint64(COUNTERS)).astype(np.int64)], row))
+        row, h = row[order], h[order]
+        n = np.bincount(row, minlength=piece.num_rows)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        few = rank < n[row] - np.ceil(t * n[row] - 1e-9) + 1
+        at = pa.array(row[few])
+        return pa.RecordBatch.from_arrays([pa.array(h[few].view(np.int64)), *(piece.column(c).take(at) for c in CARRIED)], ["h", *CARRIED])
 
-    runs = map_arrow(queries, priced, "h long, kid binary, s int, e int, price float, before float, by_end float", "key").where("price > 0")
-    runs = runs.join(frequency, "h", "left").select("kid", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "s", "e", "price", "before", "by_end").alias("run"))
-    grouped = queries.drop("key").join(runs.groupBy("kid").agg(F.collect_list("run").alias("runs")), "kid", "left")
+    return map_arrow(texts, run, ROWS, "key")
 
-    def chosen(batches):
-        for batch in batches:
-            rows, hashes, places = [], [], []
-            for k, (size, runs) in enumerate(zip(batch.column("n").to_pylist(), batch.column("runs"))):
-                picked: list[int] = []
-                if runs.is_valid and len(runs):
-                    columns = [np.asarray(c) for c in runs.values.flatten()]
-                    df, h, s, *rest = (c[np.argsort(columns[3], kind="stable")] for c in columns)
-                    picked = choose(Runs(df, s.tolist(), *(c.tolist() for c in rest)), (1 - t) * size, t)
-                for i in picked:
-                    if df[i]:
-                        rows.append(k), hashes.append(h[i]), places.append(s[i])
-                if not picked and size:
-                    rows.append(k), hashes.append(0), places.append(NONE)
-            if rows:
-                yield _carry(batch, np.array(hashes, np.int64).view(np.uint64), np.array(rows), np.array(places))
 
-    return grouped.mapInArrow(chosen, ROWS)
+ROWS = "h long, kid binary, n int, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def candidates(queries: DataFrame, others: DataFrame, t: float = G.THRESHOLD, same: bool = False, alike: float | None = None) -> DataFrame:
-    """kid_a (of queries), kid_b (of others), hits, pos_a, pos_b: every pair of different key texts that can score t, and more.
+    """kid_a (of queries), kid_b (of others), hits: every pair of different key texts that can score t, and more.
 
-    Both tables: TEXTS. same: they are one table; each pair then comes once, looked up by its smaller text. Pairs whose parities
+    Both tables: TEXTS. same: they are one table; each pair then comes once, with its smaller text first. Pairs whose parities
     show that their sets can't score ``alike`` (default t) are left out within the join.
     """
-    asked, runs, pending, pool = None, None, queries, others
-    for words in (*TIERS, 0):
-        if words:
-            frequency = map_arrow(pool.select("key"), lambda piece, w=words: _hashes(piece, w), "h long", "key").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-            rows = cut(lookups(pending, frequency, t, words))
-            theirs = map_arrow(pool, lambda piece, w=words: _all(piece, w), ROWS, "key")
-        else:
-            rows, theirs = map_arrow(pending, lambda piece: _few_pieces(piece, t), ROWS, "key"), map_arrow(pool, _pieces, ROWS, "key")
-        asked = rows if asked is None else asked.unionByName(rows)
-        runs = theirs if runs is None else runs.unionByName(theirs)
-        if not words:
-            break
-        rest = rows.where(F.col("pos") == NONE)
-        sizes = {r[0] for r in rest.select(bucket(F.col("n"), t)).distinct().collect()}  # as many as there are orders of size
-        if not sizes:
-            break
-        pending = queries.join(rest.select("kid"), "kid", "left_semi").select(*queries.columns)
-        pool = others.where(bucket(F.col("n"), t).isin(sorted({b + d for b in sizes for d in (-1, 0, 1)})))
-    a, b = asked.where(F.col("pos") != NONE).alias("a"), runs.alias("b")
+    shipped = queries.sparkSession.sparkContext.broadcast(counts(others if same else queries.unionByName(others)))
+    a, b = rarest(queries, shipped, t).alias("a"), rarest(others, shipped, t).alias("b")
     apart = "(a.n < b.n or a.n = b.n and a.kid < b.kid)" if same else "a.kid <> b.kid"
     u = alike or t
     differ = f"{' + '.join(f'bit_count(a.{x} ^ b.{x})' for x in BITS)} <= {(1 - u) / (1 + u)} * (a.n + b.n) + 1e-9"
-    found = a.join(b, "h").where(f"{apart} and a.n >= {t} * b.n - 1e-9 and b.n >= {t} * a.n - 1e-9 and (a.pos < 0) = (b.pos < 0) and {differ}")
-    return found.groupBy(F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).agg(F.count(F.lit(1)).alias("hits"), F.min("a.pos").alias("pos_a"), F.min_by("b.pos", "a.pos").alias("pos_b"))
+    found = a.join(b, "h").where(f"{apart} and a.n >= {t} * b.n - 1e-9 and b.n >= {t} * a.n - 1e-9 and {differ}")
+    return found.groupBy(F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).agg(F.count(F.lit(1)).alias("hits"))

@@ -1,6 +1,6 @@
 """Similarity joins over sets of five-character pieces, and the greedy removal of near-duplicates.
 
-Candidates come from segments (see ``segments``), which lose no pair that reaches the threshold, and are verified exactly. Equal
+Candidates come from the rarest pieces (see ``segments``), which lose no pair that reaches the threshold, and are verified exactly. Equal
 keys are one text throughout: copies join no one another.
 """
 

@@ -55,6 +55,33 @@ def test_pairs(items):
     assert cross == {(a, b) if family[a] == "bipia_text" else (b, a) for a, b in want if family[a] != family[b]}
 
 
+def rearranged(seed, n):
+    """Texts with values that swap their places between equal words, and with doubled words."""
+    rng = random.Random(seed)
+    words = "bread lamp crane violet ledger gasket meadow walnut ribbon cactus spindle orchard".split()
+    texts = ["please send the key to bob at once. then kindly send the log to amy by the end of day", "please send the log to bob at once. then kindly send the key to amy by the end of day"]
+    for _ in range(n):
+        values = rng.sample(words, 4)
+        other = values[::-1] if rng.random() < 0.5 else [values[1], values[0], *values[2:]]
+        form = " and then ".join(f"we {rng.choice(words)} sort the {{}} for the {rng.choice(words)}" for _ in values)
+        texts += [form.format(*values), form.format(*other)]
+        doubled = form.format(*values).split()
+        k = rng.randrange(len(doubled))
+        texts.append(" ".join(doubled[: k + 1] + doubled[k:]))
+    return texts
+
+
+def test_pairs_of_rearranged_texts(spark):
+    rows = [(f"r{k:03}", t, "bipia_text" if k % 2 else "mcptox_t1") for k, t in enumerate(rearranged(3, 40))]
+    df = spark.createDataFrame(rows, "id string, text string, family string")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and score(a[1], b[1]) >= 0.85}
+    assert ("r000", "r001") in want
+    assert {(r.id_a, r.id_b) for r in similarity.self_pairs(df, "id", X.collapse(F.col("text"))).collect()} == want
+    held = F.col("family") == "bipia_text"
+    cross = {tuple(sorted((r.left_id, r.right_id))) for r in similarity.cross_pairs(df.where(held), df.where(~held), "id", X.collapse(F.col("text"))).collect()}
+    assert cross == {p for p in want if (int(p[0][1:]) - int(p[1][1:])) % 2}
+
+
 def test_greedy(items):
     rows, df = items
     kept, want = [], {}
