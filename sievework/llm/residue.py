@@ -3,7 +3,8 @@
 Texts are taken in consistent form; what they quote (code, inline code, quoted words) is set aside, for a text that treats of
 placeholders or error messages quotes them. The rest is cut into units (lines and sentences).
 
-Slots are induced from units of one template: units that begin alike (or, if they begin with a slot, end alike) are aligned, and for
+Fields, defaults and blanks are known by regular expressions, in place of an alignment of records that induces slots. Units that begin
+alike (or, if they begin with a slot, end alike) count as one template; for
 each such template it is counted in how many wordings a slot holds a variable name or a blank, and in how many units a word. A
 variable in a template that others fill with words was never filled in; where surely nearly all wordings of a template hold one, it
 belongs to the text. Delimiters that only template fields have need no such count. Error pages and notices are known by how they
