@@ -1,10 +1,9 @@
-"""Problem 1: same or near-same records across splits, by an edit-distance segment join.
+"""Problem 1: same or near-same records across splits, by a prefix filter and the exact score.
 
 Evaluation texts and training texts that score the threshold have one of their rarest pieces in common (``segments``), at any
-position, since the score doesn't see where a passage stands.
-Candidates go through a banded dynamic program over their edit distance, all pairs of a batch at once, and pairs leave it when
-no cell of the band is within the bound. An exact check of the score follows: a moved passage keeps its score whatever its
-distance, so a pair beyond the band is kept, with no distance, if it reaches the score.
+position, since the score doesn't see where a passage stands. The exact score decides. A banded dynamic program over all pairs of a
+batch at once adds the edit distance and rejects no pair: a moved passage keeps its score whatever its distance, so a pair beyond
+the band has no distance.
 
 Defined cases: rows without id, text or group belong to no pair; texts with one key are paired without a search; empty texts pair
 with empty ones (score 1); rows delivered twice count once; an empty side gives an empty result.
