@@ -46,6 +46,7 @@ STRONG = re.compile(
 )
 WEAK = re.compile(rf"(?<![\w/$#{{]){{{NAME}}}(?![\w/}}])|(?<![\w/]){{{NAME}}}(?=\s)|(?<!\w)__{NAME}__(?!\w)|(?<![\w%])%[A-Z][A-Z_]+%(?![\w%])|<[A-Z][A-Z_ ]+>|\[[A-Z][A-Z_ ]{{2,}}\]")
 BLANK = re.compile(r"(?<![\w_])_{3,}(?![\w_])|(?<![\w.])\.{6,}(?![\w.])")
+LEADER = re.compile(r"[^:_]*\.{6,}\s*\d*")  # a line of a table of contents
 DEFAULT = re.compile(r"(?:[Dd]ear\s*|(?:[Hh]ello|[Hh]i)\s+)[,!]|[^\W_][\w \-]{0,30}:\s*(?:undefined|null|NaN|N/A|None|TBD|TODO|TBC|FIXME)\W*")
 # Filler. Beginnings of words of dummy text, and whole units.
 DUMMY = re.compile(r"(?:lorem|ipsum|dolor|sit$|amet|consect|adipis|elit|sed$|sedor|eiusmod|tempor|incidid|ut$|labor|et$|magn|aliqu|enim|minim|veniam|nostr|ullamc|nisi|commod|conseq|duis|aute|irure|velit|esse$|cillum|fugiat|nulla|pariat|except|sint$|occaec|cupidat|proident|culpa|offici|deserunt|mollit|anim$|port[ae]|mattis|vesti|dapibus)", re.I)
@@ -122,8 +123,8 @@ def examine(text: str) -> tuple[bool, list[str], list[tuple[str, str]], tuple[li
             undecided.append((key, CODES.sub("0", marked.lower())))
         elif key and not field:
             filled.append(key)
-        # a unit that is nothing but the field, or greets with it, needs no others to tell
-        sure = sure or bool(field) or bool(weak) and not key and len(words) <= 3 and bool(WEAK.search(unit))
+        # a unit that is little but the field or blank, or has one at both ends, needs no others to tell
+        sure = sure or bool(field) or bool(weak) and not key and (bool(WEAK.search(unit)) or set(words) != {SLOT} and not LEADER.fullmatch(unit))
         if not sure:
             sure = bool(FILLER.fullmatch(unit) or DEFAULT.fullmatch(unit) or dummy(words) or MESSAGES.match(unit.lstrip(" \t([{<¡!*_#")))
         size += len(words)

@@ -65,3 +65,10 @@ def test_copies_of_a_sound_text_are_no_recurring_notice(spark):
 
 def test_long_text_in_bounded_time():
     assert examine("{" * 20000 + "a " * 50000 + "[" * 3000 + '"' * 3000)[0] in (True, False)
+
+
+def test_units_without_a_template():
+    for unit in ("Name: ________", "Signed ______", "{greeting} and welcome to {site}"):
+        assert examine(f"{sentence(random.Random(1))}\n{unit}")[0], unit
+    for unit in ("Name: Ada", "____", "Summary ....... 12"):
+        assert not examine(f"{sentence(random.Random(1))}\n{unit}")[0], unit
