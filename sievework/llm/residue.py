@@ -1,18 +1,25 @@
-"""Problem 8: template residue and error-page text.
+"""Problem 8: template residue and error-page text, by aligning records of one template.
 
 Texts are taken in consistent form; what they quote (code, inline code, quoted words) is set aside, for a text that treats of
-placeholders or error messages quotes them. The rest is cut into units (lines and sentences).
+placeholders or error messages quotes them. The rest is a sequence of words in units (lines and sentences).
 
-Fields, defaults and blanks are known by regular expressions, in place of an alignment of records that induces slots. Units that begin
-alike (or, if they begin with a slot, end alike) count as one template; for
-each such template it is counted in how many wordings a slot holds a variable name or a blank, and in how many units a word. A
-variable in a template that others fill with words was never filled in; where surely nearly all wordings of a template hold one, it
-belongs to the text. Delimiters that only template fields have need no such count. Error pages and notices are known by how they
-begin; a unit that has only words of theirs counts if, numbers and codes aside, it is a whole line or sentence that recurs verbatim in
-several texts, as pages made by a server do and sentences of a text don't.
+*Slots.* Records of one template are aligned at a place by the two words before it and by the two words after it. The words that
+distinct texts hold at that place are its column, counted over the whole collection. A column that varies is an induced slot. A
+record whose slot holds the name of a variable, a default value or a blank where the others hold words was never filled in. The
+syntax of a variable is a prior: one in delimiters that running text doesn't use (``{{x}}``) is unfilled even where nothing aligns;
+one in delimiters that it does use (``{x}``, ``__x__``, blanks) is, unless surely nearly all wordings of its template hold it, so that
+it is the template's own; what only looks like a variable, a default or a gap (``%s``, ``[First Name]``, ``null`` after a colon) needs a
+slot that other records fill.
 
-Counts are over distinct texts, so copies of a text add nothing. Only a page that such units make up by half or more counts with
-each of its documents: a server sends the same page again and again.
+*Pages.* Short units that several distinct texts repeat, numbers and codes aside, are parts of whole-page templates. One with a word
+of errors, refused access, scripts or placeholders (``SIGNS``) is a message; so is one that nearly always stands on pages with a message.
+A page that messages make up by half or more counts with each of its copies, other texts once.
+
+*Repetition.* A unit that repeats one to four words or one letter over and over, or three units in a row that are equal but for their
+numbers, are filler; so is a unit of two fifths words of the usual dummy passage.
+
+Everything but the marking of quotes and variables works on arrays. Counts are over distinct texts. Columns are counted for the
+contexts of variables only, which a bitmap of fixed size lets through; no text is shuffled, and a hot context is summed before it.
 
 Defined cases: documents without id are left out, null, empty and merely short texts aren't residue; repeated rows count once in the
 result; an empty table gives an empty result.
@@ -21,10 +28,10 @@ result; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,138 +40,304 @@ from ..functions.stats import wilson
 from ..session import cut
 from . import codepoints as C
 
-NOTICE = 12  # words of a recurring notice at most; passages that are passed on are longer
-REPEATS = 5  # texts in which a unit with words of error pages must recur
+NOTICE, PAGE = 14, 12  # words of a message, units of a page
+REPEATS = 3  # texts in which a message must recur
+STEM = 5  # letters of a word of the dummy passage that count, since it comes in many distortions
+COMPANY = 0.8  # of a unit's pages that have a message, for the unit to be one
+FILLED, OTHERS = 2, 5  # texts that fill a slot with words: for a variable, for what only looks like one
 OWN_SHARE, Z = 0.9, 1.645  # a template has a variable as its own if the share of such wordings is surely (95 %, Wilson) so great
+BITS = 25  # of the bitmap of contexts
 
 NAME = r"[A-Za-z][\w.\- ]{0,40}?"
-# Delimiters of template fields. The first group is used for nothing else in running text.
+# Delimiters of template fields, by what else they are used for: nothing, something, much.
 STRONG = re.compile(
-    rf"\{{\{{\s*{NAME}\s*\}}\}}|\{{%\s*{NAME}\s*%\}}|<%[=-]?\s*{NAME}\s*-?%>|\$\{{\s*{NAME}\s*\}}|#\{{\s*{NAME}\s*\}}|@@\s*{NAME}\s*@@|%%\s*{NAME}\s*%%|\[\[\s*{NAME}\s*\]\]|<<\s*{NAME}\s*>>"
+    rf"\{{\{{\s*{NAME}\s*\}}\}}|\{{%\s*{NAME}\s*%\}}|<%[=-]?\s*{NAME}\s*-?%>|\$\{{\s*{NAME}\s*\}}|#\{{\s*{NAME}\s*\}}|@@\s*{NAME}\s*@@|%%\s*{NAME}\s*%%|\[\[\s*{NAME}\s*\]\]|<<\s*{NAME}\s*>>|\*\|{NAME}\|\*"
     rf"|<your {NAME}>|\[(?:insert|enter|add|your|the) {NAME}\]|\[{NAME} (?:goes )?here\]|\((?:fill in|insert|enter|add|your) {NAME}\)|\({NAME} goes here\)|&lt;\s*{NAME}\s*&gt;",
     re.I,
 )
-WEAK = re.compile(rf"(?<![\w/$#{{]){{{NAME}}}(?![\w/}}])|(?<![\w/]){{{NAME}}}(?=\s)|(?<!\w)__{NAME}__(?!\w)|(?<![\w%])%[A-Z][A-Z_]+%(?![\w%])|<[A-Z][A-Z_ ]+>|\[[A-Z][A-Z_ ]{{2,}}\]")
-BLANK = re.compile(r"(?<![\w_])_{3,}(?![\w_])|(?<![\w.])\.{6,}(?![\w.])")
-LEADER = re.compile(r"[^:_]*\.{6,}\s*\d*")  # a line of a table of contents
-DEFAULT = re.compile(r"(?:[Dd]ear\s*|(?:[Hh]ello|[Hh]i)\s+)[,!]|[^\W_][\w \-]{0,30}:\s*(?:undefined|null|NaN|N/A|None|TBD|TODO|TBC|FIXME)\W*")
-# Filler. Beginnings of words of dummy text, and whole units.
-DUMMY = re.compile(r"(?:lorem|ipsum|dolor|sit$|amet|consect|adipis|elit|sed$|sedor|eiusmod|tempor|incidid|ut$|labor|et$|magn|aliqu|enim|minim|veniam|nostr|ullamc|nisi|commod|conseq|duis|aute|irure|velit|esse$|cillum|fugiat|nulla|pariat|except|sint$|occaec|cupidat|proident|culpa|offici|deserunt|mollit|anim$|port[ae]|mattis|vesti|dapibus)", re.I)
-FILLER = re.compile(
-    r"\.{10,}|(?P<again>\S+(?:\s+\S+){0,3}?)(?:\s+(?P=again)){3,}\W*|\W*(?:x[\s.\-_]*){6,}|(?:asdf\w*|qwerty\w*|blah|foo|bar|baz|test)(?:\W+(?:asdf\w*|qwerty\w*|blah|foo|bar|baz|test)){2,}\W*|(?:tbd|tbc|todo|fixme|n/a)\W*|(?:todo|tbd|fixme)\b\W*(?:write|add|fill|describe|complete)\b.*"
-    r"|\W*(?:no|missing) (?:description|content|text|summary)(?: yet| available| provided)?\W*|(?:description|content|text|summary|details) (?:pending|to follow|coming soon|missing|goes here)\W*|coming soon\b.{0,40}"
-    r"|(?:add|put|write|insert|enter|type) your \w+(?: \w+)? here\W*|\W*placeholder(?: text)?\W*|(?:sample|dummy|example) text\W*|(?:your )?text (?:goes )?here\W*|item (?:one|two|three|1|2|3)\W*|this is (?:a )?(?:placeholder|dummy|sample)\b.*",
-    re.I,
+WEAK = re.compile(rf"(?<![\w/$#{{]){{{NAME}}}(?![\w/}}])|(?<![\w/]){{{NAME}}}(?=\s)|(?<!\w)__{NAME}__(?!\w)|(?<![\w%])%[A-Z][A-Z_]+%(?![\w%])|<[A-Z][A-Z_ ]+>|\[[A-Z][A-Z_ ]{{2,}}\]|(?<![\w_])_{{3,}}(?![\w_])|(?<![\w.])\.{{6,}}(?![\w.])(?!\s*\d)")
+SHAPE = re.compile(r"(?<![\w%])%[sd](?!\w)|\[[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}\]|(?<=: )(?:undefined|null|NaN|N/A|None|TBD|TODO|TBC|FIXME)(?=\s*(?:\n|$))|(?<=\w) (?=,)")
+# Words of errors, refused access, scripts and placeholders, in the languages of the collection.
+SIGNS = frozenset(
+    "javascript js scripts scripting cookie cookies browser error fatal denied forbidden unavailable unauthorized gateway timeout http captcha human permission expired maintenance loading reload refresh retry"
+    " skripte fehler verweigert serverfehler wartungsarbeiten berechtigung abgelaufen seite adresse"
+    " navigateur scripts erreur refusé introuvable indisponible permission maintenance réessayez adresse"
+    " navegador denegado error encontrada permiso mantenimiento inténtelo intentarlo dirección"
+    " page address server network exist exists moved sorry disabled"
+    " todo tbd tbc fixme placeholder pending dummy description".split()
 )
-# How messages of servers, sites and programs, and notices about scripts and cookies, begin.
-MESSAGES = re.compile(
-    r"(?:\W*\d{3}\W+)?(?:service (?:temporarily )?unavailable|bad gateway|bad request|gone(?=\W*(?:\d|$))|gateway time-?out|request time-?out|internal server error|forbidden|not found|unauthori[sz]ed|too many requests|payment required|method not allowed)\b(?:\W|$)"
-    r"|http(?: error)?[ /:]*\d{3}\b|error(?: code)?\W*(?:[a-z]{1,3}-)?\d+\b|loading\W*$|retry in \d+ s\b|the (?:database )?connection (?:has )?(?:timed out|failed|was reset)|server error\b|fatal error\b|internal (?:server )?(?:error|failure)\b|unhandled exception\b|uncaught \w*error\b|traceback \(most recent"
-    r"|access (?:to this (?:page|resource|site) (?:is|has been) )?(?:denied|blocked|forbidden)\W*(?:$|[.!:])|permission denied\b|you (?:do not|don't) have (?:permission|access)\b|you (?:may|can) ?not (?:open|view|access)\b|page not found\b|we (?:could not|couldn't|can't|cannot) (?:load|find|open)\b"
-    r"|there was a problem (?:opening|loading)|sorry, (?:this|the|that) \w+ (?:has|is|was|could|can)|(?:oops\W+)?something went wrong\b|timed out while\b|your session (?:has )?(?:expired|timed out)|session expired\b|sign in again\b|are you (?:a )?human\b|(?:please )?(?:complete|pass) the (?:check|challenge|captcha)\b|verify (?:that )?you are (?:a )?human|checking your browser"
-    r"|down for maintenance|(?:we are|site is) (?:currently )?(?:down|under maintenance)|request \S+ could not be\b|no rows could be rendered|worker exited\b|we looked everywhere\b|too many requests\b"
-    r"|(?:please )?(?:enable|activate|allow|turn on|switch on) (?:java ?script|scripts?|scripting|cookies)\b|you (?:must|need to) (?:enable|allow|turn on|activate)\b.{0,20}(?:script|cookie|javascript)|java ?script (?:is|must be|seems to be|appears to be) (?:disabled|required|turned off|enabled|blocked|off)|java ?script required"
-    r"|your browser (?:is blocking|does not support|doesn't support|has disabled)|we(?:'re| are) sorry, .{0,60}without java ?script|(?:this|the) (?:app|site|page|viewer|application|content) (?:needs|requires) (?:java ?script|scripts?|cookies|js)\b|\W*requires js\b|cookies (?:are|must be) (?:disabled|required|enabled)|turn on scripting"
-    r"|accès (?:refusé|interdit)|page introuvable|erreur interne du serveur|cette adresse ne mène|réessayez dans|vous n'avez pas (?:la permission|le droit|l'autorisation)|service indisponible|veuillez (?:activer|autoriser)|cette (?:application|page) (?:exige|nécessite)|site en maintenance|en maintenance\b|votre session a expiré"
-    r"|acceso denegado|página no encontrada|error interno del servidor|vuelva a intentarlo|no tiene permiso|servicio no disponible|esta dirección no|activ[ea] (?:java ?script|las cookies|los scripts)|esta (?:aplicación|página) (?:necesita|requiere)|en mantenimiento\b|su sesión ha (?:expirado|caducado)"
-    r"|zugriff verweigert|seite nicht gefunden|interner serverfehler|wartungsarbeiten|der dienst ist (?:in|derzeit|nicht)|sie haben keine berechtigung|diese adresse|bitte (?:aktivieren|erlauben)|diese (?:anwendung|seite) (?:benötigt|erfordert)|ohne cookies und skripte|javascript aktivieren|ihre sitzung ist abgelaufen|dienst nicht verfügbar",
-    re.I,
+SIGN_PAIRS = frozenset((("not", "found"), ("nicht", "gefunden"), ("no", "encontrada"), ("timed", "out"), ("went", "wrong"), ("too", "many"), ("bad", "request"), ("your", "request"), ("add", "your"), ("coming", "soon"), ("goes", "here")))
+NUMBERS = frozenset("one two three four five six seven eight nine ten".split())
+# The usual dummy passage.
+DUMMY = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat"
+    " duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum".split()
 )
-# Words that such pages have, in the languages of the collection.
-SIGNS = re.compile(
-    r"java ?script|\bscripts?\b|scripting|cookies?\b|browser|\berror\b|erreur|fehler|denied|forbidden|accès refusé|verweigert|denegad|unavailable|nicht verfügbar|indisponible|expired|abgelaufen|expiré|caducad|retry in|try again|reload\b|maintenance|wartung|mantenimiento|captcha|\bhuman\b|permission|permiso|berechtigung|not found|introuvable|encontrad|timed out|timeout|moved or (?:was )?deleted|could not be|went wrong|skripte|navigateur|navegador",
-    re.I,
-)
-# Parts of the signs: a text with none of them needs no closer look.
-STEMS = ("script", "cookie", "browser", "error", "erreur", "fehler", "denied", "forbidden", "refus", "verweigert", "denegad", "verfügbar", "unavailable", "indisponible", "expir", "abgelaufen", "caducad", "retry in", "try again", "reload", "maintenance", "wartung", "mantenimiento", "captcha", "human", "permis", "berechtigung", "not found", "introuvable", "encontrad", "timed out", "timeout", "deleted", "could not be", "went wrong", "skripte", "navigateur", "navegador")
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 QUOTED = re.compile(r"`[^`\n]{1,300}`|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|\"[^\"\n]{1,400}\"|(?<![\w'])'(?=\S)(?:[^'\n]|(?<=\w)'(?=\w)){1,300}'(?!\w)")
-DELIMITERS = re.compile(r"[{}\[\](<>@%_&]|\.{6}")  # what any field, default or blank has
-TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s+[\w\-]+=(?:\"[^\"]*\"|\x01))*\s*/?>", re.I)
-UNIT = re.compile(r"\n+|(?<=[.!?])\s+(?=\S)|\s+\|\s+|\s+[-*•·]\s+")
-LEAD = re.compile(r"^(?:(?:[-*•·|>]|#{1,6})\s+)+|^[-*•·|]+$")
-CODES = re.compile(r"\b[a-z]{1,3}-\d+\b|\d+", re.I)
-WORDS = re.compile(r"[^\s\x02]+|\x02")
-SLOT, CITED = "\x02", "\x01"
-
-
-def units(text: str) -> list[str]:
-    """Lines and sentences of a text in consistent form, without markup, with ``CITED`` for what it quotes."""
-    text = FENCE.sub(CITED, text)
-    text = QUOTED.sub(CITED, text)
-    # a variable's own delimiters may look like a tag
-    text = TAG.sub("\n", text)
-    return [u for p in UNIT.split(text) if (u := LEAD.sub("", p.strip()))]
-
-
-def template(words: list[str]) -> str | None:
-    """What units of one template share: their first two words, or their last two where the first are a slot."""
-    if len(words) < 4:
-        return None
-    ends = [w.lower().strip(".,;:!?()*_") for w in (*words[:2], *words[-2:])]
-    return "a " + " ".join(ends[:2]) if SLOT not in ends[:2] else "z " + " ".join(ends[-2:]) if SLOT not in ends[-2:] else None
-
-
-def dummy(words: list[str]) -> bool:
-    return len(words) >= 3 and bool(DUMMY.match(words[0]) or DUMMY.match(words[1])) and sum(bool(DUMMY.match(w.strip(".,;:"))) for w in words) >= 0.7 * len(words)
-
-
-def examine(text: str) -> tuple[bool, list[str], list[tuple[str, str]], tuple[list[str], bool]]:
-    """Whether a text surely has residue; the templates of its units without a slot; templates and wordings of those with one, by
-    which it is to be decided; units to be counted, and whether they make up the page."""
-    sure, filled, undecided, recurring, signs, size = False, [], [], [], 0, 0
-    for unit in units(text):
-        field = DELIMITERS.search(unit) and STRONG.search(unit)
-        weak = None if field or not DELIMITERS.search(unit) else WEAK.search(unit) or BLANK.search(unit)
-        marked = STRONG.sub(SLOT, unit) if field else BLANK.sub(SLOT, WEAK.sub(SLOT, unit)) if weak else unit
-        words = WORDS.findall(marked) if field or weak else unit.split()
-        key = template(words)
-        if weak and key:
-            undecided.append((key, CODES.sub("0", marked.lower())))
-        elif key and not field:
-            filled.append(key)
-        # a unit that is little but the field or blank, or has one at both ends, needs no others to tell
-        sure = sure or bool(field) or bool(weak) and not key and (bool(WEAK.search(unit)) or set(words) != {SLOT} and not LEADER.fullmatch(unit))
-        if not sure:
-            sure = bool(FILLER.fullmatch(unit) or DEFAULT.fullmatch(unit) or dummy(words) or MESSAGES.match(unit.lstrip(" \t([{<¡!*_#")))
-        size += len(words)
-        if len(words) <= NOTICE and CITED not in unit and any(s in (low := unit.lower()) for s in STEMS) and SIGNS.search(low):
-            recurring.append(CODES.sub("0", low))
-            signs += len(words)
-    return sure, filled, undecided, (recurring, 2 * signs >= size)
+TAG = re.compile(rf"</?[a-z][a-z0-9]*(?:\s+[\w\-]+=(?:\"[^\"]*\"|\ue009))*\s*/?>", re.I)
+PATH = re.compile(r"(?<!\S)\S*/\S+")
+# A text without any of these characters has nothing to mark.
+TO_MARK = "[\"“”«»„`'{}\\[\\]<>@%&*/:]|~~~|__|\\.{6}|\\w ,|\\((?i:fill|insert|enter|add|your)|(?i:goes here)"
+CITED, MARKS = "\ue009", ("\ue000", "\ue001", "\ue002")  # what is set aside, and each kind of variable: strong, weak, shape
 
 
-def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeats: int = REPEATS) -> DataFrame:
-    """doc_id: the documents with unfilled fields, filler, messages of errors or refused access, or notices about scripts."""
-    schema = "kid binary, what string, key long, wording long, n long, page boolean"
-
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        forms = C.encode(C.consistent(C.decode(piece.column("text")))).to_pylist()
-        found: list[tuple] = []
-        totals: Counter = Counter()
-        for k, form in enumerate(forms):
-            sure, filled, undecided, (recurring, page) = examine(form)
-            if sure:
-                found.append((k, "sure", "", "", 0, False))
-            totals.update(filled)
-            found += [(k, "slot", key, wording, 0, False) for key, wording in set(undecided)]
-            found += [(k, "unit", key, "", 0, page) for key in set(recurring)]
-        found += [(None, "template", key, "", n, False) for key, n in totals.items()]
-        rows, what, keys, wordings, n, pages = zip(*found) if found else ((),) * 6
-        hashed = [pa.array(C.hashes(C.decode(pa.array(x, pa.string())), 81).view(np.int64)) for x in (keys, wordings)]
-        return pa.RecordBatch.from_arrays([piece.column("kid").take(pa.array(rows, pa.int64())), pa.array(what, pa.string()), *hashed, pa.array(n, pa.int64()), pa.array(pages, pa.bool_())], ["kid", "what", "key", "wording", "n", "page"])
+def marked(text: str) -> str:
+    """The text with one private character in place of each quotation and each variable."""
+    text = QUOTED.sub(CITED, FENCE.sub(CITED, text))
+    text = WEAK.sub(MARKS[1], STRONG.sub(MARKS[0], text))
+    text = TAG.sub("\n", text)  # a variable's own delimiters may look like a tag
+    return PATH.sub(" 0 ", SHAPE.sub(MARKS[2], text))
+
+
+def _marked(forms: pa.Array) -> pa.Array:
+    some = pc.match_substring_regex(forms, TO_MARK)
+    if not pc.any(some).as_py():
+        return forms
+    fresh = [marked(t) for t in pc.filter(forms, some).to_pylist()]
+    return pc.replace_with_mask(forms, some, pa.array(fresh, pa.string()))
+
+
+class Words:
+    """Words of marked texts in order: row, hash (numbers and codes alike), unit, and what they are."""
+
+    def __init__(self, codes: C.Codes):
+        cp, off = codes
+        special = (cp >= 0xE000) & (cp <= 0xE009)
+        inside = C.word_table()[cp] | special
+        edge = np.zeros(len(cp) + 1, bool)
+        edge[off] = True
+        before, after = np.concatenate([[False], inside[:-1] & ~special[:-1]]), np.concatenate([inside[1:] & ~special[1:], [False]])
+        s = np.flatnonzero(inside & (special | edge[:-1] | ~before))
+        e = np.flatnonzero(inside & (special | edge[1:] | ~after)) + 1
+        self.row = np.searchsorted(off, s, "right") - 1
+        n = len(s)
+        fold, at, pool = C.folding()
+        low = np.where(fold[cp] == 1, pool[at[cp]], cp)
+        self.raw = C.window_hashes(low, s, e - s, 85) if n else np.zeros(0, np.uint64)
+        digits = np.concatenate([[0], np.cumsum((cp >= 48) & (cp <= 57))])
+        self.number = (digits[e] > digits[s]) | np.isin(self.raw, _hashed(NUMBERS))
+        self.stem = C.window_hashes(low, s, np.minimum(e - s, STEM), 85) if n else self.raw
+        self.hash = np.where(self.number, np.uint64(1), self.raw)
+        self.size = e - s
+        self.mono = np.zeros(n, bool)  # one letter over and over
+        turns = np.concatenate([[0], np.cumsum(np.concatenate([[0], (low[1:] != low[:-1]).astype(np.int64)]))])
+        self.mono = (self.size >= 8) & (turns[e] - turns[np.minimum(s + 1, e)] == 0) & ~self.number
+        first = cp[s] if n else cp[:0]
+        self.kind = np.full(n, -1, np.int8)
+        for k, c in enumerate(MARKS):
+            self.kind[first == ord(c)] = k
+        self.cited = first == ord(CITED)
+        # units: lines, sentences, cells and points
+        blank = cp == 32
+        nxt = np.concatenate([blank[1:], [False]])
+        stop = (cp == 10) | (((cp == 46) | (cp == 33) | (cp == 63)) & nxt)
+        point = (cp == 124) | (cp == 45) | (cp == 42) | (cp == 0x2022) | (cp == 0xB7)
+        stop |= point & nxt & np.concatenate([[False], blank[:-1]])
+        ends = np.concatenate([[0], np.cumsum(stop)])
+        new = np.ones(n, bool)
+        new[1:] = (self.row[1:] != self.row[:-1]) | (ends[s[1:]] > ends[e[:-1]])
+        self.new = new
+        self.unit = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.first, n))
+        self.unit_row = self.row[self.first]
+
+    def before(self, k: int) -> np.ndarray:
+        """Hash of the k-th word before each within its unit, 0 where there is none."""
+        out = np.zeros(len(self.hash), np.uint64)
+        if k < len(out):
+            out[k:] = np.where(self.unit[k:] == self.unit[:-k], self.hash[:-k], np.uint64(0))
+        return out
+
+    def after(self, k: int) -> np.ndarray:
+        out = np.zeros(len(self.hash), np.uint64)
+        if k < len(out):
+            out[:-k] = np.where(self.unit[k:] == self.unit[:-k], self.hash[k:], np.uint64(0))
+        return out
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Context of each word by the two words before it and by the two after it; 0 where there is no word."""
+        out = []
+        for seed, near, far in ((86, self.before(1), self.before(2)), (87, self.after(1), self.after(2))):
+            h = C.mix(C.mix(near, seed) + far, seed)
+            out.append(np.where(near == 0, np.uint64(0), h))
+        return out[0], out[1]
+
+    def unit_hashes(self) -> np.ndarray:
+        return C.window_hashes(self.hash, self.first, self.count, 88) if len(self.first) else np.zeros(0, np.uint64)
+
+    def signs(self) -> np.ndarray:
+        pairs = sorted(SIGN_PAIRS)
+        a, b = (C.window_hashes(c.cp, c.off[:-1], np.diff(c.off), 85) for c in (C.decode(pa.array(x)) for x in zip(*pairs)))
+        out = np.isin(self.raw, _hashed(SIGNS))
+        if len(self.raw) > 1:
+            out[:-1] |= np.isin(C.mix(self.raw[:-1], 89) + self.raw[1:], C.mix(a, 89) + b) & (self.unit[:-1] == self.unit[1:])
+        return out
+
+    def halves(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of both parts of the units, cut at each of their words, and the unit."""
+        cuts = np.maximum(self.count[units] - 1, 0)
+        unit = np.repeat(units, cuts)
+        k = 1 + np.arange(len(unit)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        first = self.first[unit]
+        if not len(unit):
+            return (np.zeros(0, np.int64),) * 3
+        return C.window_hashes(self.hash, first, k, 88).view(np.int64), C.window_hashes(self.hash, first + k, self.count[unit] - k, 88).view(np.int64), unit
+
+    def any_of(self, flag: np.ndarray) -> np.ndarray:
+        return np.bincount(self.unit, flag, len(self.first)) > 0
+
+    def filler(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows with repetition or dummy text."""
+        found = [self.row[self.mono]]
+        n = len(self.hash)
+        for period in range(1, 5):
+            if n <= period:
+                break
+            same = (self.unit[period:] == self.unit[:-period]) & (self.raw[period:] == self.raw[:-period]) & ~(self.cited | (self.kind >= 0))[period:]
+            hits = np.bincount(self.unit[period:], same, len(self.first))
+            found.append(self.unit_row[(self.count >= 4 * period) & (hits >= self.count - period) & (self.count >= 4)])
+        k = np.arange(max(len(hashes) - 2, 0))
+        plain = self.any_of(~self.number & ~self.cited & (self.kind < 0))
+        if len(k):
+            row, u = self.unit_row, hashes
+            same = (u[k] == u[k + 1]) & (u[k] == u[k + 2]) & (row[k] == row[k + 2]) & plain[k] & (self.count[k] <= 3)
+            found.append(row[k[same]])
+        dummy = np.isin(self.stem, _hashed(frozenset(w[:STEM] for w in DUMMY if len(w) >= 4)))
+        pairs = np.unique(np.stack([self.unit[dummy].astype(np.uint64), self.stem[dummy]], 1), axis=0)
+        different = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(self.first)) if len(pairs) else np.zeros(len(self.first), np.int64)
+        found.append(self.unit_row[(different >= 3) & (5 * np.bincount(self.unit, dummy, len(self.first)) >= 2 * self.count)])
+        return np.unique(np.concatenate(found))
+
+
+_known: dict[frozenset, np.ndarray] = {}
 
+
+def _hashed(words: frozenset) -> np.ndarray:
+    if words not in _known:
+        codes = C.decode(pa.array(sorted(words)))
+        _known[words] = C.window_hashes(codes.cp, codes.off[:-1], np.diff(codes.off), 85)
+    return _known[words]
+
+
+def words_of(texts: pa.Array) -> Words:
+    """Words of stored texts, in consistent form and marked."""
+    cp, off = C.consistent(C.decode(texts))
+    cp = np.where((cp >= 0xE000) & (cp <= 0xE009), 0xFFFD, cp).astype(np.uint32)
+    return Words(C.decode(_marked(C.encode(C.Codes(cp, off)))))
+
+
+SEEN = "kid binary, what string, kind byte, left long, right long, unit long, page boolean"
+
+
+def _look(piece: pa.RecordBatch) -> pa.RecordBatch:
+    """Variables with their contexts, filler, and the units that may be parts of page templates."""
+    w = words_of(piece.column("text"))
+    hashes = w.unit_hashes().view(np.int64)
+    left, right = (x.view(np.int64) for x in w.contexts())
+    held = np.flatnonzero(w.kind >= 0)
+    filler = w.filler(hashes)
+    cited, sign = w.any_of(w.cited), w.any_of(w.signs())
+    short = (w.count <= NOTICE) & ~cited & ~w.any_of(w.kind >= 0)
+    rows = piece.num_rows
+    signed_words = np.bincount(w.unit_row, w.count * (short & sign), rows)
+    page = 2 * signed_words >= np.maximum(np.bincount(w.unit_row, w.count, rows), 1)
+    small = np.bincount(w.unit_row, minlength=rows) <= PAGE
+    units = np.flatnonzero(short & (sign | small[w.unit_row]))
+    heads, tails, halved = w.halves(np.flatnonzero(sign & ~cited & (w.count <= 2 * NOTICE)))
+    at = np.concatenate([w.row[held], filler, w.unit_row[units], w.unit_row[halved]])
+    n = (len(held), len(filler), len(units), len(halved))
+    part = lambda *x: np.concatenate([np.broadcast_to(np.asarray(v), k) for v, k in zip(x, n)])
+    what = pa.array(np.array(["slot", "filler", "unit", "halves"])[np.repeat(np.arange(4), n)])
+    return pa.RecordBatch.from_arrays(
+        [
+            piece.column("kid").take(pa.array(at)), what, pa.array(part(w.kind[held], np.int8(0), sign[units].astype(np.int8), np.int8(0)).astype(np.int8)),
+            pa.array(part(left[held], 0, 0, heads)), pa.array(part(right[held], 0, 0, tails)), pa.array(part(hashes[w.unit[held]], 0, hashes[units], 0)), pa.array(part(False, False, page[w.unit_row[units]], False)),
+        ],
+        ["kid", "what", "kind", "left", "right", "unit", "page"],
+    )
+
+
+def bitmap(contexts: DataFrame, column: str) -> np.ndarray:
+    """2 ** BITS bits, those of the contexts set: 4 MB whatever the number of contexts."""
+    placed = contexts.select(F.shiftrightunsigned(column, 64 - BITS).alias("at"))
+    words = placed.groupBy(F.expr("at >> 6").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def columns(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """ctx, filled, varied: in how many distinct texts words stand in a context, and whether they differ; for wanted contexts, and
+    a few that share their bits."""
+    shipped = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "ctx"))
+
+    def count(piece: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = words_of(piece.column("text"))
+        bits, plain = shipped.value, (w.kind < 0) & ~w.cited
+        found = []
+        for ctx in w.contexts():
+            place = (ctx >> np.uint64(64 - BITS)).astype(np.int64)
+            k = np.flatnonzero(plain & (ctx != 0) & ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+            found.append(np.stack([ctx[k].view(np.int64), w.row[k], w.hash[k].view(np.int64)], 1))
+        rows = np.concatenate(found)
+        if not len(rows):
+            return None
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        head = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        text = head | np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]])
+        at = np.flatnonzero(head)
+        low, high = np.minimum.reduceat(rows[:, 2], at), np.maximum.reduceat(rows[:, 2], at)
+        return pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(np.add.reduceat(text.astype(np.int64), at)), pa.array(low), pa.array(high)], ["ctx", "n", "low", "high"])
+
+    counted = map_arrow(texts.select("text"), count, "ctx long, n long, low long, high long", "text")
+    return counted.groupBy("ctx").agg(F.sum("n").alias("filled"), (F.min("low") < F.max("high")).alias("varied"))
+
+
+def unfilled(texts: DataFrame, slots: DataFrame) -> DataFrame:
+    """kid, why: texts with a variable, default or blank that was never filled in; why is ``slot`` if other records fill its slot,
+    ``syntax`` if only its delimiters tell."""
+    each = slots.select("kid", "kind", "unit", F.explode(F.array_distinct(F.array("left", "right"))).alias("ctx"))
+    wanted = each.where("ctx <> 0")
+    seen = columns(texts, wanted.select("ctx"))
+    wordings = wanted.groupBy("ctx").agg(F.count_distinct("unit").alias("open"))
+    known = wordings.join(seen, "ctx", "left").select("ctx", "open", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("varied", F.lit(False)).alias("varied"))
+    own = wilson(F.col("open"), F.col("open") + F.col("filled"), Z)[0] >= OWN_SHARE
+    rare = F.col("varied") & (F.col("filled") >= OTHERS) & (F.col("open") <= (1 - OWN_SHARE) * F.col("filled"))
+    facts = known.select("ctx", (F.col("varied") & (F.col("filled") >= FILLED) & ~own).alias("slot"), own.alias("own"), rare.alias("rare"))
+    joined = each.join(facts, "ctx", "left").groupBy("kid", "kind", "unit").agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("slot", "own", "rare")))
+    said = F.when(F.col("kind") == 2, F.when(F.col("rare"), "slot")).when(F.col("slot"), "slot").when((F.col("kind") == 0) | ~F.col("own"), "syntax")
+    return joined.select("kid", said.alias("why")).where("why is not null")
+
+
+def messages(ids: DataFrame, units: DataFrame, halves: DataFrame, repeats: int) -> DataFrame:
+    """kid, why: texts with a part of a repeated page template that has a sign, or keeps company with such parts. A unit that is two
+    such parts run together is one too."""
+    units = units.select("kid", "unit", (F.col("kind") == 1).alias("sign"), "page").distinct()
+    copies = ids.join(units.where("page").select("kid").distinct(), "kid", "left_semi").groupBy("kid").agg(F.count(F.lit(1)).alias("copies"))
+    counted = cut(units.join(copies, "kid", "left").withColumn("n", F.coalesce("copies", F.lit(1))))
+    signed = counted.where("sign").groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") >= repeats).select("unit")
+    parts = cut(counted.groupBy("unit").agg(F.sum("n").alias("n"), F.bool_or("sign").alias("sign")).where(F.col("n") >= repeats).select("unit", "sign"))
+    both = halves.select("kid", "left", "right").join(parts.toDF("left", "a"), "left").join(parts.toDF("right", "b"), "right").where("a or b").select("kid")
+    direct = cut(counted.where("sign").join(signed, "unit", "left_semi").select("kid").unionByName(both).distinct())
+    company = counted.where("not sign").join(direct.withColumn("with", F.lit(1)), "kid", "left").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count("with").alias("m"))
+    kept = company.where((F.col("m") >= repeats) & (wilson(F.col("m"), F.col("n"), Z)[0] >= COMPANY)).select("unit")
+    indirect = counted.where("not sign").join(kept, "unit", "left_semi").select("kid").distinct().join(direct, "kid", "left_anti")
+    return direct.select("kid", F.lit("page").alias("why")).unionByName(indirect.select("kid", F.lit("company").alias("why")))
+
+
+def evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeats: int = REPEATS) -> DataFrame:
+    """doc_id, why: each document with residue and what tells (slot, syntax, page, company, filler); one row for each."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''").withColumn("kid", F.unhex(F.md5("text")))
     ids = cut(rows.select("doc_id", "kid").distinct())
-    seen = cut(map_arrow(rows.groupBy("kid").agg(F.first("text").alias("text")), run, schema, "text"))
-    slots = seen.where("what = 'slot'").select("kid", "key", "wording")
-    words = seen.where("what = 'template'").groupBy("key").agg(F.sum("n").alias("filled"))
-    counts = slots.groupBy("key").agg(F.count_distinct("wording").alias("open")).join(words, "key", "left")
-    lower = wilson(F.col("open"), F.col("open") + F.coalesce("filled", F.lit(0)), Z)[0]
-    unfilled = slots.join(counts.where(lower >= OWN_SHARE).select("key"), "key", "left_anti").select("kid")
-    units_seen = seen.where("what = 'unit'").select("kid", "key", "page").distinct()
-    copies = ids.join(units_seen.where("page").select("kid").distinct(), "kid", "left_semi").groupBy("kid").agg(F.count(F.lit(1)).alias("copies"))
-    pages = units_seen.join(copies, "kid", "left").groupBy("key").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n")).where(f"n >= {repeats}").select("key")
-    repeated = units_seen.join(pages, "key", "left_semi").select("kid")
-    found = seen.where("what = 'sure'").select("kid").unionByName(unfilled).unionByName(repeated).distinct()
-    return ids.join(found, "kid", "left_semi").select("doc_id").distinct()
+    texts = cut(rows.groupBy("kid").agg(F.first("text").alias("text")))
+    seen = cut(map_arrow(texts, _look, SEEN, "text"))
+    filler = seen.where("what = 'filler'").select("kid", F.lit("filler").alias("why"))
+    found = filler.unionByName(unfilled(texts, seen.where("what = 'slot'"))).unionByName(messages(ids, seen.where("what = 'unit'"), seen.where("what = 'halves'"), repeats))
+    return ids.join(found.distinct(), "kid").select("doc_id", "why").distinct()
+
+
+def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeats: int = REPEATS) -> DataFrame:
+    """doc_id: the documents with unfilled fields, filler, messages of errors or refused access, or notices about scripts."""
+    return evidence(docs, doc_id, text, repeats).select("doc_id").distinct()
