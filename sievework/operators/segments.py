@@ -3,7 +3,8 @@
 Let all pieces of five characters have one fixed order. Two texts of ``n`` and ``m`` distinct pieces that score t share at least
 ``ceil(t * max(n, m))`` of them, so among the first ``n - ceil(t * n) + 1`` pieces of the one and the first ``m - ceil(t * m) + 1`` of
 the other there is a common one, wherever it stands and however the rest is rearranged. Any order will do; rare pieces come first,
-by counts in a table of fixed size, so that few texts meet. No bucket is capped and no position is excluded.
+by counts in a table of fixed size, so that few texts meet. No bucket is capped and no position is excluded. Pieces that stand among the
+first ones of no other text are held back by a bitmap before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.batches import map_arrow
+from ..functions.bitmaps import bitmap, within
+from ..session import cut
 from . import pieces as G
 
 COUNTERS = 1 << 20  # of pieces by hash; pieces that share one are taken as equally rare
@@ -61,8 +64,8 @@ def counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def rarest(texts: DataFrame, shipped, t: float) -> DataFrame:
-    """ROWS: of each text the pieces of which a text that scores t has one among its own such pieces."""
+def rarest(texts: DataFrame, shipped, t: float, wanted=None) -> DataFrame:
+    """ROWS: of each text the pieces of which a text that scores t has one among its own such pieces; only the wanted ones."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         row, h = _hashed(piece)
@@ -71,6 +74,8 @@ def rarest(texts: DataFrame, shipped, t: float) -> DataFrame:
         n = np.bincount(row, minlength=piece.num_rows)
         rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         few = rank < n[row] - np.ceil(t * n[row] - 1e-9) + 1
+        if wanted is not None:
+            few[few] = within(wanted.value, h[few])
         at = pa.array(row[few])
         return pa.RecordBatch.from_arrays([pa.array(h[few].view(np.int64)), *(piece.column(c).take(at) for c in CARRIED)], ["h", *CARRIED])
 
@@ -86,8 +91,13 @@ def candidates(queries: DataFrame, others: DataFrame, t: float = G.THRESHOLD, sa
     Both tables: TEXTS. same: they are one table; each pair then comes once, with its smaller text first. Pairs whose parities
     show that their sets can't score ``alike`` (default t) are left out within the join.
     """
-    shipped = queries.sparkSession.sparkContext.broadcast(counts(others if same else queries.unionByName(others)))
-    a, b = rarest(queries, shipped, t).alias("a"), rarest(others, shipped, t).alias("b")
+    context = queries.sparkSession.sparkContext
+    shipped = context.broadcast(counts(others if same else queries.unionByName(others)))
+    asked = cut(rarest(queries, shipped, t))
+    wanted = context.broadcast(bitmap(asked, "h", 2 if same else 1))
+    if same:
+        asked = map_arrow(asked, lambda piece: piece.filter(pa.array(within(wanted.value, np.asarray(piece.column("h")).view(np.uint64)))), ROWS, rows=1 << 16)
+    a, b = asked.alias("a"), (asked if same else rarest(others, shipped, t, wanted)).alias("b")
     apart = "(a.n < b.n or a.n = b.n and a.kid < b.kid)" if same else "a.kid <> b.kid"
     u = alike or t
     differ = f"{' + '.join(f'bit_count(a.{x} ^ b.{x})' for x in BITS)} <= {(1 - u) / (1 + u)} * (a.n + b.n) + 1e-9"
