@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import map_arrow
+from ..functions.bitmaps import bitmap, within
 from ..functions.stats import wilson
 from ..session import cut
 from . import codepoints as C
@@ -46,7 +47,6 @@ STEM = 5  # letters of a word of the dummy passage that count, since it comes in
 COMPANY = 0.8  # of a unit's pages that have a message, for the unit to be one
 FILLED, OTHERS = 2, 5  # texts that fill a slot with words: for a variable, for what only looks like one
 OWN_SHARE, Z = 0.9, 1.645  # a template has a variable as its own if the share of such wordings is surely (95 %, Wilson) so great
-BITS = 25  # of the bitmap of contexts
 
 NAME = r"[A-Za-z][\w.\- ]{0,40}?"
 # Delimiters of template fields, by what else they are used for: nothing, something, much.
@@ -259,15 +259,6 @@ def _look(piece: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def bitmap(contexts: DataFrame, column: str) -> np.ndarray:
-    """2 ** BITS bits, those of the contexts set: 4 MB whatever the number of contexts."""
-    placed = contexts.select(F.shiftrightunsigned(column, 64 - BITS).alias("at"))
-    words = placed.groupBy(F.expr("at >> 6").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def columns(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """ctx, filled, varied: in how many distinct texts words stand in a context, and whether they differ; for wanted contexts, and
     a few that share their bits."""
@@ -278,8 +269,7 @@ def columns(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         bits, plain = shipped.value, (w.kind < 0) & ~w.cited
         found = []
         for ctx in w.contexts():
-            place = (ctx >> np.uint64(64 - BITS)).astype(np.int64)
-            k = np.flatnonzero(plain & (ctx != 0) & ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+            k = np.flatnonzero(plain & (ctx != 0) & within(bits, ctx))
             found.append(np.stack([ctx[k].view(np.int64), w.row[k], w.hash[k].view(np.int64)], 1))
         rows = np.concatenate(found)
         if not len(rows):
