@@ -105,6 +105,30 @@ def keep(codes: Codes, keep: np.ndarray) -> Codes:
     return Codes(codes.cp[keep], np.concatenate([[0], np.cumsum(keep)])[codes.off])
 
 
+@functools.lru_cache(maxsize=1)
+def blank_table() -> np.ndarray:
+    """True for the white space that str.split() splits at."""
+    table = np.zeros(LIMIT, bool)
+    table[[c for c in interesting() if chr(c).isspace()]] = True
+    return table
+
+
+def collapsed(codes: Codes) -> Codes:
+    """Case-folded, with every run of white space as one blank and none at the ends."""
+    cp, off = expand(codes, *folding())
+    if not len(cp):
+        return Codes(cp, off)
+    blank = blank_table()[cp]
+    first = off[:-1][off[:-1] < off[1:]]
+    before = np.concatenate([[True], blank[:-1]])
+    before[first] = True
+    cp, off = keep(Codes(np.where(blank, 32, cp).astype(np.uint32), off), ~(blank & before))
+    ends = off[1:][off[1:] > off[:-1]] - 1
+    stay = np.ones(len(cp), bool)
+    stay[ends[cp[ends] == 32]] = False
+    return keep(Codes(cp, off), stay)
+
+
 def hashes(codes: Codes, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of every text: a polynomial over mixed code points, finished with the length."""
     if not len(codes.cp):

@@ -60,6 +60,10 @@ def _spans(content: str | None) -> dict | None:
     return reply if all(map(sound, reply["spans"])) else None
 
 
+def is_wellformed(content: str | None) -> bool:
+    return _spans(content) is not None
+
+
 def check_spans(content: str | None) -> str:
     """attack if a span is the author's directive to the agent for a sensitive action; a malformed or unsure reply is unsure."""
     reply = _spans(content)

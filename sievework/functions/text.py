@@ -5,14 +5,21 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import codes as C
+from .batches import pieces
+
 # The white space that str.split() splits at, as a class of the engine's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 GRAM, SHORT_WORDS, MEDIUM_WORDS = 5, 25, 45
+REDACTED, TAG_REMOVED = "<redacted>", "[fence tag removed]"
+KEY = r"nvapi-[A-Za-z0-9_-]{20,}"  # how a key that leaked looks
 OPEN_TAG, CLOSE_TAG = "<untrusted_text>", "</untrusted_text>"
 _TAGS = re.compile("[\U000e0000-\U000e007f]")
 _SELECTORS = re.compile("[︀-️\U000e0100-\U000e01ef]")
@@ -28,25 +35,29 @@ def collapsed(text: str) -> str:
     return " ".join(text.split()).casefold()
 
 
-@F.pandas_udf(StringType())
-def _normalize(texts: pd.Series) -> pd.Series:
-    return texts.map(normalized, na_action="ignore")
+@F.arrow_udf(StringType())
+def _normalize(texts: pa.Array) -> pa.Array:
+    """Plain ASCII is its own normal form; only the other rows of a batch are looked at one by one."""
+    other = pc.invert(pc.fill_null(pc.string_is_ascii(texts), True))
+    if not pc.any(other).as_py():
+        return texts
+    return pc.replace_with_mask(texts, other, pa.array([normalized(t) for t in pc.filter(texts, other).to_pylist()], texts.type))
 
 
-@F.pandas_udf(StringType())
-def _collapse(texts: pd.Series) -> pd.Series:
-    return texts.map(collapsed, na_action="ignore")
+@F.arrow_udf(StringType())
+def _collapse(texts: pa.Array) -> pa.Array:
+    """Over whole batches as code points, cut so that memory stays bounded."""
+    found = [C.encode(C.collapsed(C.decode(p.column("t"))), np.asarray(p.column("t").is_null())) for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+    return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
 
 def normalize(text: Column) -> Column:
-    """Plain ASCII without line-ending surprises is its own normal form and stays in the engine."""
-    return F.when(text.rlike(r"^\p{ASCII}*\z"), text).otherwise(_normalize(text))
+    return _normalize(text)
 
 
 def collapse(text: Column) -> Column:
-    """White space collapsed, case folded; lower() equals folding on ASCII."""
-    plain = F.lower(F.trim(F.regexp_replace(text, SPACE, " ")))
-    return F.when(text.rlike(r"^\p{ASCII}*\z"), plain).otherwise(_collapse(text))
+    """White space collapsed, case folded."""
+    return _collapse(text)
 
 
 def grams(key: Column, n: int = GRAM) -> Column:
@@ -97,7 +108,7 @@ def compose(host: Column, fence: Column, clause: Column) -> Column:
 
 def fenced(text: Column) -> Column:
     """Text within one pair of fence tags it can neither close nor reopen."""
-    safe = F.regexp_replace(text, r"(?iU)<\s*/?\s*untrusted_text\s*>", "[fence tag removed]")
+    safe = F.regexp_replace(text, r"(?iU)<\s*/?\s*untrusted_text\s*>", TAG_REMOVED)
     return F.concat(F.lit(OPEN_TAG + "\n"), safe, F.lit("\n" + CLOSE_TAG))
 
 
@@ -114,6 +125,26 @@ def is_commit_id(value: Column) -> Column:
     return value.rlike(r"^[0-9a-f]{40}\z")
 
 
+def leaked_keys(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({KEY})"), F.lit(1))
+
+
+def retry_seconds(header: Column, now: Column) -> Column:
+    """Seconds to wait that a header asks for, as a number or as a date, never below 0; null if it is neither."""
+    seconds = F.when(F.trim(header).rlike(r"^-?[0-9]+(\.[0-9]+)?\z"), F.trim(header).try_cast("double"))
+    date = F.try_to_timestamp(F.regexp_replace(F.trim(header), r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.coalesce(seconds, (F.unix_micros(date) - F.unix_micros(now)) / 1e6)
+    return F.when(wait < 0, 0.0).otherwise(wait)
+
+
+def rendered_prompt(template: str, topic: Column, form: Column, channel: Column) -> Column:
+    """A prompt template with its placeholders filled."""
+    out = F.lit(template)
+    for name, value in (("topic", topic), ("form", form), ("channel", channel)):
+        out = F.replace(out, F.lit(f"<<{name}>>"), value.cast("string"))
+    return out
+
+
 def script_safe(value: Column) -> Column:
     """JSON of a value that can stand inside a script element."""
     return F.replace(F.to_json(value), F.lit("<"), F.lit("\\u003c"))
@@ -121,7 +152,7 @@ def script_safe(value: Column) -> Column:
 
 def scrubbed(message: Column, secret: str, most: int = 300) -> Column:
     """Without a secret, cut to a length."""
-    return F.substring(F.replace(message, F.lit(secret), F.lit("[redacted]")) if secret else message, 1, most)
+    return F.substring(F.replace(message, F.lit(secret), F.lit(REDACTED)) if secret else message, 1, most)
 
 
 def subgroup(item_id: Column, family: Column, wanted: str, categories: tuple[str, ...]) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,22 @@ def manifest(items: DataFrame) -> DataFrame:
     return items.select("id", "source", "family", "channel", "label", split_of(F.col("family")).alias("split"), F.nullif(F.col("author"), F.lit("")).alias("author"), sha256(F.col("text")).alias("sha256"))
 
 
+def drop_reasons(items: DataFrame, settled: DataFrame) -> DataFrame:
+    """family, exact, near: items (id, family) that the removal (id, kept, reason) dropped, 0 where it dropped none."""
+    rows = items.select("id", "family").join(settled, "id", "left")
+    return rows.groupBy("family").agg(*(F.count_if(F.col("reason") == r).alias(r) for r in ("exact", "near")))
+
+
+def shadowing_info(kept: DataFrame, commit: str | None = None, source: bytes | None = None) -> dict:
+    """Author counts of the shadowing family, the pinned commit (a full id) and the hash of the source they were composed from."""
+    info: dict = {"authors": {r.author: r.n for r in kept.where("family = 'shadowing'").groupBy("author").agg(F.count(F.lit(1)).alias("n")).orderBy("author").collect()}}
+    if commit is not None:
+        if not re.fullmatch(r"[0-9a-f]{40}", commit.strip()):
+            raise ValueError("a commit is pinned by its full id")
+        info["commit"] = commit.strip()
+    return info | ({} if source is None else {"source_sha256": hashlib.sha256(source).hexdigest()})
+
+
 def family_table(items: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """family, split, before, after and whether too few are left."""
     before = items.groupBy("family").agg(F.count(F.lit(1)).alias("before"))
@@ -49,6 +67,11 @@ def first_problems(found: DataFrame, most: int = 5) -> tuple[list[tuple[str, str
     return [(r.problem, r.id) for r in rows], found.count()
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Manifest rows by id, as one total order over all files that are written of it."""
+    return rows.orderBy("id")
+
+
 def manifest_json(header: dict, rows: list[dict]) -> str:
     """The stored form: sorted keys, one blank of indent; the same input gives the same bytes."""
-    return json.dumps({**header, "items": rows}, ensure_ascii=False, indent=1, sort_keys=True) + "\n"
+    return json.dumps({**header, "items": sorted(rows, key=lambda r: r["id"])}, ensure_ascii=False, indent=1, sort_keys=True) + "\n"

@@ -59,6 +59,13 @@ def grouped_cells(scored: DataFrame) -> DataFrame:
     return sets.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("attack", "benign", "unsure", "error")))
 
 
+def parse_failures(scored: DataFrame, *keys: str, most: float = 0.05) -> DataFrame:
+    """Rows, declared and failed unsure verdicts (unsure_kind) of each key, and whether failures are more than a share of its rows."""
+    unsure = F.col("verdict") == "unsure"
+    out = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(unsure & (F.col("unsure_kind") == "declared")).alias("declared"), F.count_if(unsure & ~F.coalesce(F.col("unsure_kind") == "declared", F.lit(False))).alias("failed"))
+    return out.withColumn("flagged", F.col("failed") > most * F.col("n"))
+
+
 def conventions(cells: DataFrame) -> DataFrame:
     """Flagged (benign) or detected (attack) rows under the three conventions for unsure verdicts."""
     benign = F.col("label") == "benign"

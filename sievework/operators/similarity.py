@@ -1,6 +1,7 @@
 """Similarity joins over sets of five-character pieces, and the greedy removal of near-duplicates.
 
-Candidates come from the rarest pieces (see ``segments``), which lose no pair that reaches the threshold, and are verified exactly. Equal
+Candidates come from the rarest pieces (see ``segments``), which lose no pair that reaches the threshold (the piece of a common set that is
+rarest for both texts is among the first ones of both), and are verified exactly. Equal
 keys are one text throughout: copies join no one another.
 """
 
@@ -69,18 +70,18 @@ def closest(pairs: DataFrame, most: int = 5) -> DataFrame:
     return pairs.orderBy(F.desc("score"), "id_a", "id_b").limit(most)
 
 
-def greedy(items: DataFrame, key: Column, first: Column, t: float = THRESHOLD, rounds: int = 1000) -> DataFrame:
+def greedy(items: DataFrame, key: Column, first: Column, t: float = THRESHOLD, place: Column | None = None) -> DataFrame:
     """id, kept, reason, of, score: the ordered greedy removal of near-duplicates, one row for each id.
 
-    Items go in the order (``first``, id), those with ``first`` before the others. An item is dropped if it scores t with an item
+    Items go in the order (``first``, ``place`` if there is one, id), those with ``first`` before the others. An item is dropped if it scores t with an item
     kept before it: ``of`` is the first such one, reason ``exact`` if their keys are equal, else ``near``. This is not clustering:
     what resembles dropped items only is kept.
 
     Equal keys score alike, so the first of each decides for all. Those are settled in rounds: a text with no undecided
     neighbour before it and no kept one is kept, a text with a kept neighbour before it is dropped.
     """
-    rows = cut(keyed(items, "id", key, F.when(first, 0).otherwise(1).alias("later")).dropDuplicates(["id"]))
-    order = F.struct("later", "id")
+    rows = cut(keyed(items, "id", key, F.when(first, 0).otherwise(1).alias("later"), (F.lit(0) if place is None else place).alias("place")).groupBy("id").agg(F.min_by(F.struct("kid", "key", "later", "place"), F.struct("later", "place", "kid")).alias("r")).select("id", "r.*"))
+    order = F.struct("later", "place", "id")
     texts = cut(rows.groupBy("kid").agg(F.min(order).alias("at")))
     pairs = cut(text_pairs(rows, t))
     a, b = texts.select(F.col("kid").alias("kid_a"), F.col("at").alias("at_a")), texts.select(F.col("kid").alias("kid_b"), F.col("at").alias("at_b"))
@@ -88,7 +89,7 @@ def greedy(items: DataFrame, key: Column, first: Column, t: float = THRESHOLD, r
     swap = F.col("at_a") < F.col("at_b")
     links = cut(both.select(F.when(swap, F.col("kid_a")).otherwise(F.col("kid_b")).alias("before"), F.when(swap, F.col("kid_b")).otherwise(F.col("kid_a")).alias("after"), F.when(swap, F.col("at_a")).otherwise(F.col("at_b")).alias("at"), "score"))
     open_links, dropped = links, None
-    for _ in range(rounds):
+    while True:  # each round settles the first of what is open, so it ends
         # whoever has no open link before it is settled as kept; its later neighbours are dropped
         heads = open_links.select("before").distinct().join(open_links.select(F.col("after").alias("before")).distinct(), "before", "left_anti")
         out = cut(open_links.join(heads, "before", "left_semi").select(F.col("after").alias("kid")).distinct())

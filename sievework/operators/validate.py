@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import codes as C
 from ..functions import text as X
 from ..functions.batches import map_arrow
+from ..functions.bitmaps import bitmap, within
 from ..session import cut
 
 # Closed vocabularies and bounds of the two kinds of own records.
@@ -60,9 +61,10 @@ def key_problems(lines: DataFrame, json: str, fields: tuple[str, ...], optional:
 
 
 def duplicate_ids(df: DataFrame, key: str, order: str) -> DataFrame:
-    """key, order, first: the rows that repeat an id, with the place of its first row."""
-    over = Window.partitionBy(key)
-    return df.select(key, order).withColumn("first", F.min(order).over(over)).where(F.col(order) > F.col("first"))
+    """key, order, first: the rows that repeat an id, with the place of its first row. The first is found by aggregation and joined, so
+    that an id of a third of all rows isn't sorted in one task."""
+    first = df.groupBy(key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return df.select(key, order).join(first, key).where(F.col(order) > F.col("first"))
 
 
 def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -113,42 +115,28 @@ def _stretches(codes: C.Codes, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, pos, a.view(np.int64), b.view(np.int64)
 
 
-def windows(keys: DataFrame, size: int = WINDOW) -> DataFrame:
-    """id, h, m, pos: hashes (128 bits in all) and place of the stretches of collapsed texts (id, key)."""
+def windows(keys: DataFrame, size: int = WINDOW, wanted=None) -> DataFrame:
+    """id, h, m, pos: hashes (128 bits in all) and place of the stretches of collapsed texts (id, key); only the wanted ones."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         row, pos, a, b = _stretches(C.decode(piece.column("key")), size)
-        return pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(row)), pa.array(a), pa.array(b), pa.array(pos.astype(np.int32))], ["id", "h", "m", "pos"])
+        k = slice(None) if wanted is None else within(wanted.value, a.view(np.uint64))
+        return pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(row[k])), pa.array(a[k]), pa.array(b[k]), pa.array(pos[k].astype(np.int32))], ["id", "h", "m", "pos"])
 
     schema = T.StructType([T.StructField("id", keys.schema["id"].dataType), *T.StructType.fromDDL("h long, m long, pos int").fields])
     return map_arrow(keys.select("id", "key"), run, schema, "key")
 
 
-def window_overlap(rows: DataFrame, attacks: DataFrame, size: int = WINDOW, most: int = 1_000_000) -> DataFrame:
+def window_overlap(rows: DataFrame, attacks: DataFrame, size: int = WINDOW) -> DataFrame:
     """row_id, attack_id: each row that shares a stretch with an attack, by its first stretch that does; of attacks, the first
     in order (attacks: id, text, place).
 
-    Up to ``most`` different attack stretches go to the workers, sorted, and texts are probed where they are, with no shuffle. More
-    are joined; they are unique by then, so a stretch that every text has meets one row.
+    A bitmap of the attacks' stretches holds back nearly all stretches of the rows before the shuffle. Attack stretches are unique in the
+    join, so one that every text has meets one row.
     """
     key = X.collapse(X.normalize(F.col("text")))
     attack_keys = attacks.where("text is not null").select(F.struct("place", "id").alias("id"), key.alias("key"))
     mine = cut(windows(attack_keys, size).groupBy("h", "m").agg(F.min("id").alias("who")).select("h", "m", "who"))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(mine, "h"))
     texts = rows.where("id is not null and text is not null").select("id", key.alias("key"))
-    if mine.count() > most:
-        found = windows(texts, size).join(mine, ["h", "m"]).groupBy(F.col("id").alias("row_id")).agg(F.min_by(F.col("who.id"), "pos").alias("attack_id"))
-        return found
-    listed = mine.select("h", "m", F.col("who.id").alias("who")).toPandas().sort_values("h", kind="stable")
-    shipped = rows.sparkSession.sparkContext.broadcast((listed.h.to_numpy(np.int64), listed.m.to_numpy(np.int64), pa.array(listed.who.tolist(), type=pa.string())))
-
-    def probe(piece: pa.RecordBatch) -> pa.RecordBatch:
-        h, m, who = shipped.value
-        row, _, a, b = _stretches(C.decode(piece.column("key")), size)
-        k = np.searchsorted(h, a)
-        near = np.minimum(k, max(len(h) - 1, 0))
-        at = np.flatnonzero((h[near] == a) & (m[near] == b)) if len(h) else np.zeros(0, np.int64)
-        at = at[np.unique(row[at], return_index=True)[1]]  # the first of each row
-        return pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(row[at])), who.take(pa.array(near[at]))], ["row_id", "attack_id"])
-
-    schema = T.StructType([T.StructField("row_id", rows.schema["id"].dataType), T.StructField("attack_id", T.StringType())])
-    return map_arrow(texts, probe, schema, "key")
+    return windows(texts, size, wanted).join(mine, ["h", "m"]).groupBy(F.col("id").alias("row_id")).agg(F.min_by(F.col("who.id"), "pos").alias("attack_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies, stats
 from ..functions import text as X
-from ..operators import calls, gates, manifest, scoring, similarity, validate
+from ..operators import calls, drafts, frozen, gates, manifest, reports, scoring, similarity, validate
 from ..session import table
 from ..sources import files, sinks
 
@@ -112,7 +112,7 @@ def pessimistic_hits(spark, folder):
 
 
 def subgroups(spark, folder):
-    return items(spark, folder).select("id", X.subgroup(F.col("id"), F.col("family"), "bipia_text", ("path_leak", "tone_shift")).alias("subgroup"))
+    return items(spark, folder).select("id", X.subgroup(F.col("id"), F.col("family"), "bipia_text", scoring.OBFUSCATION).alias("subgroup"))
 
 
 def length_buckets(spark, folder):
@@ -152,13 +152,22 @@ def strict_verdicts(spark, folder):
 
 
 def span_verdicts(spark, folder):
-    span = F.struct(F.col("id").alias("text"), F.when(F.col("verdict") == "attack", "author_directive").otherwise("quoted").alias("voice"), F.lit("agent").alias("addressee"), (F.col("retries_429") == 0).alias("sensitive_action"))
-    reply = F.to_json(F.struct(F.array(span).alias("spans"), F.col("cached").alias("unsure")))
+    """Replies some of which lack a key, or have a voice that there isn't."""
+    voice = F.when(F.col("verdict") == "attack", "author_directive").when(F.col("error") == "timeout", "unknown").otherwise("quoted")
+    span = F.struct(F.col("id").alias("text"), voice.alias("voice"), F.lit("agent").alias("addressee"), (F.col("retries_429") == 0).alias("sensitive_action"))
+    reply = F.to_json(F.struct(F.array(span).alias("spans"), F.when(F.coalesce(F.col("error") != "http_5xx", F.lit(True)), F.col("cached")).alias("unsure")))
     return events(spark, folder).select("run_id", replies.span_verdict(reply).alias("verdict"), replies.spans_wellformed(reply).alias("wellformed")).groupBy("run_id", "verdict", "wellformed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def draft_replies(spark, folder):
+    reply = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.to_json(F.struct(F.col("text").alias("txt")))).when(F.pmod("doc_id", F.lit(11)) == 0, F.col("text")).otherwise(F.to_json(F.struct(F.translate("text", "\n\t", "  ").alias("text"))))
+    parsed = replies.parse_draft(reply, F.lit("stop"))
+    rows = table(spark, folder, "documents", "doc_id", "text").where("text is not null and text <> ''")
+    return rows.select("doc_id", parsed.alias("p")).select("doc_id", F.length("p.text").alias("chars"), F.when(F.col("p.error").like("text length%"), "text length").otherwise(F.col("p.error")).alias("error"))
+
+
 def name_patterns(spark, folder):
-    return shadowing(spark, folder).select("id", X.is_snake_case(F.col("technique")).alias("snake_case"), X.is_commit_id(F.sha1("id")).alias("commit_id"), X.script_safe(F.struct(F.concat(F.lit("<"), "technique").alias("t"))).alias("json"), X.scrubbed(F.col("text"), "tool", 60).alias("scrubbed"))
+    return shadowing(spark, folder).select("id", X.is_snake_case(F.col("technique")).alias("snake_case"), X.is_commit_id(F.sha1("id")).alias("commit_id"), X.script_safe(F.struct(F.concat(F.lit("<"), "technique").alias("t"))).alias("json"), X.scrubbed(F.col("text"), "tool").alias("scrubbed"))
 
 
 # joins
@@ -282,7 +291,7 @@ def family_table(spark, folder):
 
 
 def source_type_counts(spark, folder):
-    return validate.zero_filled(quoting(spark, folder).where("slice = 'dev' and source_type <> 'docs'"), "source_type", validate.SOURCE_TYPES)
+    return validate.zero_filled(quoting(spark, folder).where("slice = 'dev'"), "source_type", validate.SOURCE_TYPES)
 
 
 def bucket_crosstab(spark, folder):
@@ -317,7 +326,7 @@ def dev_bar(spark, folder):
 
 
 def arm_selection(spark, folder):
-    return gates.select_arm(gates.dev_bar(_arms(spark, folder), 10_000_000, 0.5))
+    return gates.select_arm(gates.dev_bar(_arms(spark, folder)))
 
 
 # order-dependent operators
@@ -342,12 +351,12 @@ def quota_sample(spark, folder):
 
 
 def circuit_breaker(spark, folder):
-    out = calls.circuit_break(events(spark, folder), "run_id", _order(), F.col("error").isNotNull(), 2)
+    out = calls.circuit_break(events(spark, folder), "run_id", _order(), F.col("error").isNotNull())
     return out.groupBy("run_id").agg(F.count_if("stopped").alias("stopped"), F.count(F.lit(1)).alias("n"))
 
 
 def budget_block(spark, folder):
-    out = calls.within_budget(events(spark, folder), "run_id", _order(), ~F.col("cached"), 300)
+    out = calls.within_budget(events(spark, folder), "run_id", _order(), ~F.col("cached"), 1_100)
     return out.groupBy("run_id").agg(F.count_if("blocked").alias("blocked"), F.max("calls_before").alias("calls_before"))
 
 
@@ -367,7 +376,7 @@ def quoting_problems(spark, folder):
 
 
 def technique_warnings(spark, folder):
-    return validate.share_warnings(shadowing(spark, folder).where("technique is distinct from 'TEMPLATE'"), F.lower(F.trim(F.coalesce("technique", F.lit("")))), 0.05)
+    return validate.share_warnings(shadowing(spark, folder).where("technique is distinct from 'TEMPLATE'"), F.lower(F.trim(F.coalesce("technique", F.lit("")))), validate.MAX_TECHNIQUE_SHARE)
 
 
 def slice_warnings(spark, folder):
@@ -375,14 +384,182 @@ def slice_warnings(spark, folder):
 
 
 def json_key_problems(spark, folder):
-    lines = table(spark, folder, "events", "event_id", "props").select(F.col("event_id").alias("line_no"), F.concat(F.substring("props", 1, 5), F.lit('1,"x":2}')).alias("line"))
-    return validate.key_problems(lines, "line", ("k", "missing"))
+    lines = table(spark, folder, "events", F.col("event_id").alias("line_no"), F.col("props").alias("line"))
+    return validate.key_problems(lines, "line", ("missing",), ("other",))
+
+
+def record_key_problems(spark, folder):
+    """Objects that lack the keys of which a row has null."""
+    rows = shadowing(spark, folder)
+    lines = rows.select(F.col("id").alias("line_no"), F.to_json(F.struct("id", "technique", "source_placement", F.col("author").alias("writer"))).alias("line"))
+    return validate.key_problems(lines, "line", ("id", "technique", "author"), ("source_placement",))
 
 
 def embedding_dims(spark, folder):
     return table(spark, folder, "embeddings").groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def embedding_order(spark, folder):
+    """Vectors of each label put into the order of their index."""
+    vectors = table(spark, folder, "embeddings").groupBy("label").agg(F.collect_list(F.struct(F.col("vec_id").alias("index"), F.col("embedding"))).alias("v"))
+    return vectors.select("label", F.posexplode(calls.in_response_order(F.col("v"))).alias("place", "embedding")).select("label", "place", F.col("embedding")[0].cast("double").alias("first"))
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    """Rows as JSON objects, numbered by a hash of their id; nulls are keys that lack."""
+    number = F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("long")
+    return df.select(number.alias("line_no"), F.to_json(F.struct(*df.columns)).alias("line"))
+
+
+def check_shadowing(spark, folder):
+    return reports.check_shadowing(_lines(shadowing(spark, folder)))
+
+
+def check_slice(spark, folder):
+    held = items(spark, folder).where(F.col("family").isin(*manifest.HELD_OUT)).select("id", "text", F.col("id").alias("place"))
+    return reports.check_slice("dev", _lines(table(spark, folder, "quoting_dev").dropDuplicates(["id"])), _lines(table(spark, folder, "quoting_frozen")), held)
+
+
+def _frozen_scored(spark, folder):
+    """The last event of each held-out item and the frozen quoting rows."""
+    authors = items(spark, folder).select("id", "author")
+    last = calls.last_writes(events(spark, folder).where(F.col("family").isin(*manifest.HELD_OUT)).select("id", "family", "channel", "label", "verdict", F.struct(*ORDER).alias("at")), "id", "at")
+    attacks = last.join(authors, "id", "left").select("id", "family", "channel", "label", F.coalesce("author", F.lit("")).alias("author"), "verdict")
+    benign = table(spark, folder, "quoting_frozen").select(F.concat(F.lit("quoting/"), "id").alias("id"), F.lit("quoting").alias("family"), "channel", F.lit("benign").alias("label"), "author", F.when(F.col("reviewed"), "benign").otherwise("attack").alias("verdict"))
+    return attacks.unionByName(benign)
+
+
+def evaluate_frozen(spark, folder):
+    out = frozen.evaluate(_frozen_scored(spark, folder))
+    return out.select("errors", "n", "valid", "fp_flagged", "fp_n", "fp_upper", "average", "fp_pass", "average_pass", "floor_pass", "passed", F.concat_ws(",", F.transform("families", lambda f: F.concat_ws(":", f["family"], f["hits"], f["total"]))).alias("families"))
+
+
+def frozen_breakdowns(spark, folder):
+    return frozen.breakdowns(_frozen_scored(spark, folder))
+
+
+def drop_reasons(spark, folder):
+    return manifest.drop_reasons(items(spark, folder), greedy_dedupe(spark, folder))
+
+
+def manifest_in_order(spark, folder):
+    return manifest.in_order(manifest.manifest(items(spark, folder)))
+
+
+def parse_failures(spark, folder):
+    """Errors taken for unsure verdicts, those that were cut short as declared ones."""
+    unsure = F.col("verdict") == "error"
+    rows = events(spark, folder).select("channel", "label", F.when(unsure, "unsure").otherwise(F.col("verdict")).alias("verdict"), F.when(unsure & (F.col("error") == "truncated_reply"), "declared").alias("unsure_kind"))
+    return scoring.parse_failures(rows, "channel", "label")
+
+
+def caps_exceeded(spark, folder):
+    rows = quoting(spark, folder)
+    return drafts.over_caps(rows.where("slice = 'dev'").select("source_type"), rows.where("slice = 'frozen'").groupBy("source_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+def draft_numbers(spark, folder):
+    rows = quoting(spark, folder)
+    return drafts.numbered(rows.where("slice = 'frozen'").select("id", "source_type"), rows.where("slice = 'dev'").select("source_type"), F.col("id")).select("id", "source_type", "k")
+
+
+def new_drafts(spark, folder):
+    rows = quoting(spark, folder)
+    place = F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("long")
+    return drafts.new_drafts(rows.where("slice = 'dev'").select("id", "text", place.alias("place")), rows.where("slice = 'frozen'").select("id", "text"), "place")
+
+
+def _decisions(spark, folder):
+    return table(spark, folder, "review_log", "id", "decision", "reason").distinct()
+
+
+def review_batch(spark, folder):
+    rows = quoting(spark, folder)
+    pending = rows.where("slice = 'dev' and source_type <> 'docs'").select("id", "slice")
+    return drafts.batch_problems(_decisions(spark, folder), pending, drafts.slice_counts(rows), ("too_short", "off_topic"))
+
+
+def draft_summary(spark, folder):
+    calls_made = quoting(spark, folder).select(F.when(F.col("reviewed"), "kept").otherwise("failed").alias("outcome"))
+    return calls.draft_summary(calls_made, _decisions(spark, folder))
+
+
+def slice_counts(spark, folder):
+    return drafts.slice_counts(quoting(spark, folder))
+
+
+def composed_problems(spark, folder):
+    """Against committed texts of which some are missing or other."""
+    rows = shadowing(spark, folder).select("id", F.col("host_tool").alias("host_description"), F.col("source_placement").alias("fenced_block"), F.col("target_tool").alias("clause"))
+    n = F.length("clause") % 5
+    committed = rows.where(n != 0).select("id", F.when(n == 1, F.col("clause")).otherwise(X.compose(F.col("host_description"), F.col("fenced_block"), F.col("clause"))).alias("text"))
+    return drafts.composed_problems(rows, committed)
+
+
+def jaccard_scores(spark, folder):
+    """Tools of each record, piece by piece."""
+    rows = shadowing(spark, folder).select("id", X.collapse(F.col("host_tool")).alias("a"), X.collapse(F.col("target_tool")).alias("b"))
+    return rows.select("id", X.grams(F.col("a")).alias("a"), X.grams(F.col("b")).alias("b")).select("id", X.jaccard(F.col("a"), F.col("b")).alias("score"))
+
+
+def dev_items(spark, folder):
+    rows = items(spark, folder)
+    return files.dev_items(rows.where("family in ('mcptox_t1', 'mcptox_t2')"), rows.where("source = 'injecagent'"), quoting(spark, folder).where("slice = 'dev'")).select("id", "family", "channel", "label", "author")
+
+
+def prompts(spark, folder):
+    topic, form, channel = X.variation(F.col("doc_id"), 20, validate.FORMS, validate.CHANNELS)
+    return table(spark, folder, "documents", "doc_id").select("doc_id", X.rendered_prompt("About <<topic>>, as <<form>>, in <<channel>>: <<form>>.", topic, form, channel).alias("prompt"))
+
+
+def leaked_keys(spark, folder):
+    key = F.concat(F.lit("nvapi-"), F.substring(F.md5("text"), 1, 18 + F.pmod("doc_id", F.lit(4)).cast("int")))
+    return table(spark, folder, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.array_join(X.leaked_keys(F.concat("text", F.lit(" "), key, F.lit("."))), ",").alias("keys"))
+
+
+def retry_waits(spark, folder):
+    """Waits by numbers and by dates of one header."""
+    header = F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") - 50).cast("string")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Thu, "), F.date_format(F.col("fetched_at"), "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise("soon")
+    return table(spark, folder, "documents", "doc_id", "fetched_at", "ingested_at").select("doc_id", F.floor(X.retry_seconds(header, F.col("ingested_at") - F.expr("interval 60 days"))).alias("wait"))
+
+
+def commit_ancestors(spark, folder):
+    """Orders as commits, each with that of half its number before it."""
+    commits = table(spark, folder, "orders", F.col("o_orderkey").alias("n")).select(F.col("n").cast("string").alias("id"), F.when(F.col("n") > 1, F.floor(F.col("n") / 2).cast("string")).alias("parent"))
+    return frozen.strict_ancestors(commits, "14999")
+
+
+def _chat(text: str) -> tuple[str, str]:
+    """A stand-in model whose replies follow from the text."""
+    kind = len(text) % 5
+    return ('{"verdict": "attack", "family": "f", "span": "s"}', "stop") if kind < 2 else ('{"verdict": "benign", "family": null, "span": null}', "stop") if kind < 4 else ("{", "length")
+
+
+def remembered_calls(spark, folder):
+    cache = calls.last_writes(events(spark, folder).where("cached and verdict <> 'error'").select(F.col("id").alias("key"), "verdict", "family", F.lit(None).cast("string").alias("span"), F.struct(*ORDER).alias("at")), "key", "at")
+    rows = items(spark, folder).where("family in ('mcptox_t1', 'mcptox_t2')").select(F.col("id").alias("key"), "text", F.col("id").alias("place"))
+    return calls.ask_with_cache(rows, cache.select("key", "verdict", "family", "span"), _chat, 60)[0].select("key", "verdict", "error", "attempts", "cached")
+
+
+def remembered_lines(spark, folder):
+    rows = items(spark, folder).where("family = 'bipia_code'").select(F.col("id").alias("key"), "text", F.col("id").alias("place"))
+    nothing = spark.createDataFrame([], "key string, verdict string, family string, span string")
+    return calls.ask_with_cache(rows, nothing, _chat, 1_100)[1]
+
+
+def span_replies(spark, folder):
+    """One call for each record; every fifth reply is malformed."""
+    chat = lambda t: ('{"spans": [], "unsure": true}' if len(t) % 5 == 1 else '{"spans": [], "unsure": 1}' if len(t) % 5 == 0 else '{"spans": [], "unsure": false}', "stop")
+    rows = shadowing(spark, folder).where("text is not null").select("id", "text")
+    return calls.ask_spans(rows, chat).select("id", "verdict", F.col("error").alias("unsure_kind"))
+
+
+def repeated_runs(spark, folder):
+    rows = shadowing(spark, folder).where("text is not null").select("id", "text")
+    out = calls.repeated_runs(rows, 3, lambda t: ("attack" if len(t) % 2 else "benign", None))
+    return out.groupBy("id").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("verdict").alias("verdicts"))
+
+
 _NOT_QUERIES = {"items", "events", "quoting", "shadowing", "scored", "table", "queries"}
 
 

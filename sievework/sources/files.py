@@ -5,20 +5,27 @@ Collections that are one JSON document keep positions, so they are read as one v
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tomllib
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blob_id
+from ..functions.text import SPACE, blob_id, normalize
+from ..session import exists
 
 ITEM = "id string, source string, family string, channel string, label string, text string, author string"
 # Families of the template collection's three variants, and the four variants of the record collection.
 PARADIGMS = {"Template-1": "mcptox_t1", "Template-2": "mcptox_t2", "Template-3": "mcptox_t3"}
 VARIANTS = ("dh_base", "dh_enhanced", "ds_base", "ds_enhanced")
-PROTOCOL = {"gate": {"model": str, "endpoint": str, "temperature": float, "max_tokens": int}, "prompt": {"path": str, "sha256": str}}
+# Sections and keys of a protocol, with their kinds.
+PROTOCOL = {
+    "classifier": {"prompt_path": str, "prompt_sha256": str, "model": str, "endpoint": str, "max_tokens": int, "temperature": float, "extra_body": dict},
+    "measurement": {"verdict_rule": str, "error_scoring": str, "normalizer_version": int},
+}
 
 
 class LoadError(ValueError):
@@ -27,15 +34,19 @@ class LoadError(ValueError):
 
 def whole(spark: SparkSession, *paths: str) -> DataFrame:
     """path, value: each file as one text."""
-    missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
+    missing = [p for p in paths if not exists(spark, p)]
     if missing:
         raise LoadError(f"{missing[0]} not found")
-    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def _parsed(files: DataFrame, schema: str) -> DataFrame:
-    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return files.select("path", parsed.alias("v"))
+    """path, v: files parsed; one that isn't JSON, or not of the form, is a LoadError that names it."""
+    sound = F.try_parse_json("value").isNotNull()
+    bad = files.where(~sound).select("path").first()
+    if bad:
+        raise LoadError(f"{bad.path} is not valid JSON")
+    return files.select("path", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v"))
 
 
 def _items(df: DataFrame, **columns) -> DataFrame:
@@ -87,40 +98,94 @@ def repeated_ids(items: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), line: lines are split at line feeds only, carriage returns at their ends and blank lines are dropped."""
-    rows = whole(spark, path).select(F.posexplode(F.split("value", "\n")).alias("n", "raw"))
-    line = F.regexp_replace("raw", r"\r+$", "")
-    return rows.select((F.col("n") + 1).alias("line_no"), line.alias("line")).where(F.length(F.trim(line)) > 0)
+    """line_no (from 1), line: lines are split at line feeds only, carriage returns at their ends and blank lines are dropped.
+
+    Files of any size are read in splits: a line's number is its place in its split and the number of lines of the splits before.
+    """
+    if not exists(spark, path):
+        raise LoadError(f"{path} not found")
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("path", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(splits.select("path", "split", "first", before.alias("before")), ["path", "split"])
+    line = F.regexp_replace("value", r"\r+$", "")
+    return placed.select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), line.alias("line")).where(F.length(F.regexp_replace("line", SPACE, "")) > 0)
 
 
 def tolerant_lines(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
     """Parsed lines; torn and foreign ones are skipped; a missing file has none."""
     empty = spark.createDataFrame([], schema)
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         return empty
-    return spark.read.text(path).select(F.from_json("value", schema).alias("v")).select("v.*").where(F.col(required).isNotNull()).select(*empty.columns)
+    return spark.read.option("lineSep", "\n").text(path).select(F.from_json("value", schema).alias("v")).select("v.*").where(F.col(required).isNotNull()).select(*empty.columns)
 
 
 def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parsed lines; a bad line is an error; a missing file has none."""
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def text_or_empty(path: str) -> str:
-    if not os.path.exists(path):
-        return ""
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+def text_or_empty(spark: SparkSession, path: str) -> str:
+    """A small text file by path or URI; a missing one is empty."""
+    return "\n".join(r.value for r in whole(spark, path).collect()) if exists(spark, path) else ""
 
 
 def event_dirs(spark: SparkSession, folders: list[str], schema: str) -> DataFrame:
-    """Events of several run folders; missing folders have none."""
-    there = [f for f in folders if os.path.exists(f)]
+    """Events of several run folders, by path or URI; missing folders have none."""
+    there = [f for f in folders if exists(spark, f)]
     return spark.read.schema(schema).json(there) if there else spark.createDataFrame([], schema)
 
 
+def own_collection(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a file of own records: the whole set is validated first, and refused if anything is wrong."""
+    from ..operators import reports
+
+    lines = json_lines(spark, path)
+    wrong = reports.check_shadowing(lines).where("severity = 'error'")
+    if first := wrong.orderBy("line_no", "rule", "subject").first():
+        raise LoadError(f"{path}: {wrong.count()} errors, the first: line {first.line_no}, {first.rule}, {first.subject}")
+    return own_items(reports.records(lines, reports.SHADOWING))
+
+
+def dev_items(template_rows: DataFrame, records: DataFrame, quoting: DataFrame, per_variant: int = 12, seed: str = "dev") -> DataFrame:
+    """id, family, channel, label, author, text of the items of a dev run: all rows of the template split, as many records of each
+    variant, and the quoting rows that are no templates; texts are normalized."""
+    from ..operators.calls import quota_sample
+
+    variants = max(1, records.select("family").distinct().count())
+    sample = quota_sample(records.select("id", "family", "text"), per_variant * variants, "family", seed)
+    item = lambda df, channel, label, author: df.select("id", "family", channel.alias("channel"), F.lit(label).alias("label"), author.alias("author"), normalize(F.col("text")).alias("text"))
+    quoted = quoting.where(~F.col("id").startswith("TEMPLATE")).select(F.concat(F.lit("quoting/"), "id").alias("id"), F.lit("quoting").alias("family"), "channel", "author", "text")
+    return union_items(item(sample, F.lit("tool_result"), "attack", F.lit("")), item(quoted, F.col("channel"), "benign", F.col("author")), item(template_rows, F.col("channel"), "attack", F.lit("")))
+
+
+def fetch_verified(pins: list[tuple[str, str, str]], folder: str, fetch: Callable[[str], bytes]) -> list[str]:
+    """Errors of fetching pinned files (name, place, blob id) into a folder: one that is there and right is skipped, one that can't be
+    fetched or has another id isn't written, and the rest still go on."""
+    errors = []
+    for name, place, blob in pins:
+        path = os.path.join(folder, name)
+        blob_of = lambda data: hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest()
+        if os.path.exists(path):
+            with open(path, "rb") as f:
+                if blob_of(f.read()) == blob:
+                    continue
+        try:
+            data = fetch(place)
+        except Exception as e:  # noqa: BLE001 - reported for each file
+            errors.append(f"{name}: {type(e).__name__}")
+            continue
+        if blob_of(data) != blob:
+            errors.append(f"{name}: another blob id")
+            continue
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+    return errors
+
+
 def verified_files(spark: SparkSession, paths: list[str], pins: DataFrame) -> DataFrame:
     """name, blob_id, verified: raw files against the pinned ids of their contents (pins: name, blob_sha)."""
     files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), blob_id(F.col("content")).alias("blob_id"))
@@ -136,26 +201,37 @@ def split_by_key(rows: DataFrame, dev_ids: DataFrame, keep: tuple[str, ...] = ("
 
 
 def protocol(path: str, strict: bool = True) -> tuple[dict, list[str]]:
-    """A protocol of two sections and all its problems; a bool is no number. Lenient: only that it can be read."""
-    with open(path, "rb") as f:
-        try:
+    """A protocol's values by key and all its problems; a bool is no number. Lenient: only the prompt's path is asked for. The path of
+    the prompt is taken from the protocol's own folder."""
+    try:
+        with open(path, "rb") as f:
             found = tomllib.load(f)
-        except tomllib.TOMLDecodeError as e:
-            return {}, [f"not TOML: {e}"]
-    wrong = []
-    for section, keys in PROTOCOL.items() if strict else ():
-        part = found.get(section)
-        if not isinstance(part, dict):
-            wrong.append(f"section [{section}] is missing")
-            continue
+    except FileNotFoundError:
+        return {}, [f"{path} not found"]
+    except tomllib.TOMLDecodeError as e:
+        return {}, [f"not TOML: {e}"]
+    values, wrong = {}, []
+    for section, keys in PROTOCOL.items():
+        part = found.get(section) if isinstance(found.get(section), dict) else {}
         for key, kind in keys.items():
+            if not strict and key != "prompt_path":
+                continue
             value = part.get(key)
-            kinds = (int, float) if kind is float else (kind,)
-            if value is None:
-                wrong.append(f"{section}.{key} is missing")
-            elif isinstance(value, bool) or not isinstance(value, kinds):
-                wrong.append(f"{section}.{key} must be {kind.__name__}")
-    return found, wrong
+            sound = isinstance(value, (int, float) if kind is float else kind) and not isinstance(value, bool)
+            if not sound or not strict and not value.strip():
+                wrong.append(f"{section}.{key}")
+            else:
+                values[key] = value
+    if "prompt_path" in values:
+        values["prompt_path"] = os.path.join(os.path.dirname(path), values["prompt_path"])
+    return values, wrong
+
+
+def prompt(path: str) -> tuple[str, str]:
+    """A prompt's text and the hash of its bytes, with line feeds only, so that a checkout can't change it."""
+    with open(path, "rb") as f:
+        data = f.read().replace(b"\r\n", b"\n")
+    return data.decode("utf-8"), hashlib.sha256(data).hexdigest()
 
 
 def schema_of(ddl: str) -> T.StructType:
