@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import KEY
 from ..operators.scoring import OBFUSCATION
-from .sql import _AT, _BLANK, _HELD, _KEY, _SHADOWING_RULES, _WITH
+from .sql import _AT, _BLANK, _HELD, _KEY, _PAIRS, _SHADOWING_RULES, _WITH
 
 _NUMBER = "('0x' || substr(md5(id), 1, 12))::bigint"
 _WORDS = lambda c: f"len(string_split(trim(regexp_replace({c}, '{_BLANK}', ' ', 'g')), ' '))"
@@ -18,8 +18,18 @@ fs as (select l.id, x.family family, x.channel channel, x."label" "label", coale
   union all select 'quoting/' || id, 'quoting', channel, 'benign', author, case when reviewed then 'benign' else 'attack' end from quoting_frozen),
 fh as (select *, case when "label" = 'attack' then verdict = 'attack' else verdict in ('attack', 'error') end hit from fs)"""
 _REPLY = "case when length(text) % 5 < 2 then 'attack' when length(text) % 5 < 4 then 'benign' else 'error' end"
+# the ordered removal, one item after the other: nb holds the earlier items that a row is like, kept those that stayed
+_GREEDY = f"""{_PAIRS.replace('with it as', 'with recursive it as', 1)}, o as (select id, key, (row_number() over (order by family not in ({_HELD}), id))::int i from k),
+l as (select case when x.i < y.i then y.i else x.i end i, case when x.i < y.i then x.i else y.i end j from pairs join o x on x.id = id_a join o y on y.id = id_b), nb as (select o.i, list(j) filter (j is not null) nb from o left join l using (i) group by o.i),
+r as (select 0 i, []::int[] kept, null::int j union all select n.i, case when list_has_any(coalesce(n.nb, []), r.kept) then r.kept else list_append(r.kept, n.i) end, list_min(list_intersect(coalesce(n.nb, []), r.kept)) from r join nb n on n.i = r.i + 1),
+settled as (select o.id, r.j is null kept, case when r.j is not null then case when q.key = o.key then 'exact' else 'near' end end reason, q.id "of", case when r.j is not null then coalesce(p.score, 1.0) end score
+  from r join o using (i) left join o q on q.i = r.j left join pairs p on p.id_a = least(o.id, q.id) and p.id_b = greatest(o.id, q.id))"""
 
 SQL = {
+    "event_json": f"""{_WITH} select to_json(struct_pack(cached, error, id, prompt_tokens, run_id, verdict))::varchar line from ev""",
+    "name_patterns": f"""{_WITH} select id, regexp_full_match(technique, '[a-z][a-z0-9]*(_[a-z0-9]+)*') snake_case, true commit_id, case when technique is null then '{{}}' else replace(to_json(struct_pack(t := '<' || technique))::varchar, '<', '\\u003c') end "json", substr(replace(text, 'tool', '<redacted>'), 1, 300) scrubbed from sh""",
+    "greedy_dedupe": f"{_GREEDY} select id, kept, reason, \"of\", score from settled",
+    "drop_reasons": f"{_GREEDY} select family, count(*) filter (reason = 'exact') exact, count(*) filter (reason = 'near') near from settled join it using (id) group by family",
     "json_key_problems": "with k as (select event_id line_no, json_keys(props) k from events) select line_no, 'missing field ''missing''' problem from k where not list_contains(k, 'missing') union all select line_no, 'unknown field ''' || u || '''' from (select line_no, unnest(k) u from k) where u not in ('missing', 'other')",
     "record_key_problems": f"{_WITH} select id line_no, 'missing field ''technique''' problem from sh where technique is null union all select id, 'missing field ''author''' from sh union all select id, 'unknown field ''writer''' from sh where author is not null",
     "span_verdicts": f"""{_WITH}, r as (select run_id, coalesce(error, '') <> 'http_5xx' and (coalesce(error, '') <> 'timeout' or verdict = 'attack') and cached is not null and retries_429 is not null ok, verdict, retries_429, cached from ev)
