@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node linked to it) of every node of edges (a, b).
 
     Each round links the greater neighbours of a node to the least node near it, then the smaller ones, until nothing changes
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # labels only fall, so it ends
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: greater neighbours move to the least node of the neighbourhood

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sievework.llm.canonical import Canon, canonical, edits
+from sievework.llm.canonical import Canon, Strings, canonical, words_of
 
 NAMES = ["reply_rerouting", "argument_swapping", "scope_widening", "scope_narrowing", "maintenance_pretext", "deprecation_pretext", "table_smuggling", "comment_smuggling", "quota_scare", "version_pinning_claim"]
 
@@ -51,9 +51,46 @@ def test_slips_keep_their_label(noise):
                     t.insert(k, t[k])
                 case 3:
                     t[k] = rng.choice("abcdefgh")
-        right += canon.match("".join(t))[0] == label
+        words = words_of("".join(t))
+        right += (canon.mention(words)[0] or canon.similar(words)[0]) == label
     assert right >= 297
 
 
-def test_edits():
-    assert edits("abc", "acb", 3) == 1 and edits("", "abc", 3) == 3 and edits("abcdef", "xyz", 2) == 3
+def edits(a, b):
+    """Insertions, deletions, substitutions and swaps of neighbours, one cell after the other."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_likeness_of_all_at_once():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdé1", k=rng.randint(1, 9))) for _ in range(200)]
+    held = Strings(texts)
+    for least in (0.5, 0.68):
+        for t in [*texts[:25], "z", "a" * 40]:
+            want = [1 - edits(t, u) / max(len(t), len(u)) for u in texts]
+            assert held.likeness(t, least) == pytest.approx([w if w >= least - 1e-9 else 0.0 for w in want])
+    assert list(Strings([]).likeness("a", 0.5)) == []
+
+
+def test_decoration_is_learned(spark):
+    """A word beside mentions of three labels is decoration wherever it stands, one that stands with one label isn't."""
+    rows = [(n.replace("_", " ") + " zzdeco zzdeco2",) for n in NAMES[:3]] + [("quot scar zzdeco zzdeco2 zzdeco zzdeco2",), ("quot scar zzother zzother zzother zzother",)]
+    got = canonical(spark.createDataFrame(rows, "technique string"), "technique", labels(spark), out="found")
+    assert [r.found for r in got.orderBy("technique").collect()] == sorted_labels(rows)
+
+
+def sorted_labels(rows):
+    want = {rows[0][0]: NAMES[0], rows[1][0]: NAMES[1], rows[2][0]: NAMES[2], rows[3][0]: "quota_scare", rows[4][0]: "unmatched"}
+    return [want[v] for v in sorted(want)]
+
+
+def test_the_longest_mention_wins_over_all_blocks(spark):
+    names = spark.createDataFrame([("z", "long name of it"), ("a", "name"), ("b", "it")], "label string, title string")
+    for block in (1, 2, 100):
+        assert canonical(spark.createDataFrame([("the long name of it",)], "v string"), "v", names, out="f", block=block).first().f == "z"
