@@ -7,7 +7,8 @@ follow after them, are compacted: such a path stands as a whole wherever one of
 more is a shared span at all its coordinates. Around branches, and at the ends of paths, stretches of 100 characters are verified
 at their source coordinates by the hashes of the characters themselves, for those positions only whose edges are all repeated.
 
-Nothing pairs records: an edge or a stretch counts by its least and greatest owner, which partial aggregation finds.
+Nothing pairs records: an edge or a stretch counts by its least and greatest owner, which partial aggregation finds. A bitmap of the
+repeated edges holds back the others before their occurrences are shuffled.
 
 Defined cases: rows without id or text are left out; texts shorter than the length share nothing; rows delivered twice count once;
 copies of one text are worked on once and share all of it; an empty table gives an empty result.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import map_arrow
+from ..functions.bitmaps import bitmap, within
 from ..session import cut
 from . import codepoints as C
 
@@ -47,20 +49,26 @@ def edges(codes: C.Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return s, e, row[ok], C.window_hashes(cp, s, e - s, 61)
 
 
-def _occurrences(piece: pa.RecordBatch) -> pa.RecordBatch:
+def _occurrences(piece: pa.RecordBatch, wanted) -> pa.RecordBatch:
     codes = C.decode(piece.column("text"))
     s, _, row, h = edges(codes)
     h = h.view(np.int64)
     same = row[1:] == row[:-1]
     after, before = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)  # 0: none
     after[:-1][same], before[1:][same] = h[1:][same], h[:-1][same]
-    at = pa.array(row)
-    return pa.RecordBatch.from_arrays([pa.array(h), piece.column("tid").take(at), pa.array((s - codes.off[row]).astype(np.int32)), pa.array(after), pa.array(before)], ["h", "tid", "pos", "after", "before"])
+    k = np.flatnonzero(within(wanted.value, h.view(np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array(h[k]), piece.column("tid").take(pa.array(row[k])), pa.array((s - codes.off[row])[k].astype(np.int32)), pa.array(after[k]), pa.array(before[k])], ["h", "tid", "pos", "after", "before"])
 
 
 def _owned(piece: pa.RecordBatch) -> pa.RecordBatch:
+    """Edges with the least and the greatest of the batch's owners that have them."""
     _, _, row, h = edges(C.decode(piece.column("text")))
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), piece.column("owner").take(pa.array(row))], ["h", "owner"])
+    owner = np.asarray(piece.column("owner"))[row]
+    order = np.lexsort((owner, h))
+    h, owner = h[order].view(np.int64), owner[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(h))[: len(first)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(owner[first]), pa.array(owner[last])], ["h", "low", "high"])
 
 
 def _verify(piece: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -120,13 +128,17 @@ def shared_spans(records: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < EDGE + 3 * CONTEXT:
         raise ValueError(f"length must be {EDGE + 3 * CONTEXT} or more")
     named = records.where("rec_id is not null and text is not null").groupBy("table_name", "rec_id").agg(F.min("text").alias("text"))
-    rows = cut(named.withColumn("key", F.unhex(F.md5("text"))).withColumn("owner", F.xxhash64("rec_id")))
+    stored = cut(named.withColumn("key", F.unhex(F.md5("text"))))
+    # numbers, not hashes, of ids: no two ids are ever taken for one
+    owners = cut(stored.select("rec_id").distinct().withColumn("owner", F.monotonically_increasing_id()))
+    rows = stored.select("table_name", "rec_id", "key")
     # copies are worked on once; one text under two ids is shared as a whole, and is no one's own
-    classes = rows.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
-    texts = rows.select("key", "text").where(F.length("text") >= length).dropDuplicates(["key"]).join(classes, "key")
-    texts = cut(texts.select("key", "text", (F.col("low") != F.col("high")).alias("copied"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("key")).alias("owner")).withColumn("tid", F.monotonically_increasing_id()))
-    several = map_arrow(texts.select("owner", "text"), _owned, "h long, owner long", "text").groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("h")
-    repeated = cut(map_arrow(texts.select("tid", "text"), _occurrences, "h long, tid long, pos int, after long, before long", "text").join(several, "h", "left_semi"))
+    classes = rows.join(owners, "rec_id").groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
+    texts = stored.select("key", "text").where(F.length("text") >= length).dropDuplicates(["key"]).join(classes, "key").withColumn("tid", F.monotonically_increasing_id())
+    texts = cut(texts.select("key", "text", (F.col("low") != F.col("high")).alias("copied"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("tid")).alias("owner"), "tid"))
+    several = cut(map_arrow(texts.select("owner", "text"), _owned, "h long, low long, high long", "text").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h"))
+    wanted = records.sparkSession.sparkContext.broadcast(bitmap(several, "h"))
+    repeated = cut(map_arrow(texts.select("tid", "text"), lambda piece: _occurrences(piece, wanted), "h long, tid long, pos int, after long, before long", "text").join(several, "h", "left_semi"))
     ways = repeated.groupBy("h").agg(F.min("after").alias("a"), F.max("after").alias("b"), F.min("before").alias("c"), F.max("before").alias("d"))
     flags = ways.select("h", F.expr("a = b and a <> 0").alias("right"), F.expr("c = d and c <> 0").alias("left"))
     found = repeated.join(flags, "h").groupBy("tid").agg(F.collect_list(F.struct("pos", "right", "left")).alias("found"))
