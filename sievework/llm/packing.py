@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import importlib
 import os
 
 import numpy as np
@@ -31,29 +30,41 @@ from ..session import cut
 TOKENIZER = "byte_bpe_50k.tiktoken"
 BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 512, 3, 2, 12, 6
 WELL_FILLED, BUDGETS = 0.98, 1000
+VOCABULARY = 64 << 20  # bytes of a vocabulary file at most
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
-    return importlib.import_module("public_tokenizers").path(name)
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
 
-def load_tokenizer(path: str):
-    import tiktoken
 
-    pattern = importlib.import_module("public_tokenizers").PATTERN
+def read_tokenizer(path: str) -> tuple[str, str, bytes]:
+    """Name, pattern and vocabulary of a tokenizer, read by the driver; a file of bounded size that goes to the workers as it is."""
+    import public_tokenizers
+
+    if os.path.getsize(path) > VOCABULARY:
+        raise ValueError(f"{path} is no vocabulary")
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return os.path.basename(path), public_tokenizers.PATTERN, f.read()
+
+
+def load_tokenizer(name: str, pattern: str, data: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
     """doc_id, tokens: of whole texts, one row for each id."""
     kind = docs.schema[doc_id].dataType
     held: list = []
+    shipped = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
-            held.append(load_tokenizer(path))
+            held.append(load_tokenizer(*shipped.value))
         counts = [len(held[0].encode_ordinary(t)) for t in piece.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "tokens"])
 

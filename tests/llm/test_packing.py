@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sievework.llm.packing import best_fit, cross, evolve, fill, load_tokenizer, mutate, pack, packed, tokenizer_path
+from sievework.llm.packing import best_fit, cross, evolve, fill, load_tokenizer, mutate, pack, packed, read_tokenizer, tokenizer_path
 
 
 def valid(p):
@@ -37,7 +37,7 @@ def test_whole_operator(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, item string")
     budgets = spark.createDataFrame([("small", 100, 1), ("large", 512, 2), ("none", 0, 3), (None, 9, 4)], "budget_id string, capacity_tokens int, size int")
     rows = packed(df, budgets, block=64).collect()
-    tokenizer = load_tokenizer(tokenizer_path())
+    tokenizer = load_tokenizer(*read_tokenizer(tokenizer_path()))
     texts = {}
     for d, t, _ in docs:
         if d is not None and t is not None:
