@@ -4,7 +4,9 @@ A shard is a bounded piece of a partition. Its documents are sequences of words
 form), each closed by a mark of its own; over them stand a suffix array, from prefix doubling that sorts only what is still tied,
 the Burrows-Wheeler transform in a wavelet matrix with block counts, and sampled suffix positions. Every run of ``words`` words of
 the test items is searched backwards, all runs at once; what remains is located by walking back to a sample, and the places are
-merged to removal spans. The corpus isn't shuffled; test items go to the shards in blocks of bounded size, one after another.
+merged to removal spans. The corpus isn't shuffled. Different test texts go to the shards as sequences of words, in blocks of bounded
+size; a shard is indexed once for each block of millions of words, and its phrases are taken from the sequences as they are searched.
+Items are joined to the texts that were found, so a text that many items have is searched once.
 
 Defined cases: documents and items without id or text are left out, items of fewer than ``words`` words can't leak; items delivered
 twice count once; documents are taken row by row; empty tables give an empty result.
@@ -23,7 +25,8 @@ from ..session import cut
 from . import codepoints as C
 from .spans import merged
 
-WORDS, SHARD, SAMPLE, BLOCK = 12, 4 << 20, 8, 100_000
+WORDS, SHARD, SAMPLE = 12, 4 << 20, 8
+BLOCK, PIECE, AT_ONCE = 8_000_000, 1_000_000, 100_000  # words in a block and of a text in one piece, phrases searched together
 
 
 def word_sequences(codes: C.Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,9 +143,18 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of the suffixes that begin with each pattern (rows of word hashes)."""
-        k = np.searchsorted(self.vocabulary, patterns)
-        known = (k < len(self.vocabulary)) & (self.vocabulary[np.minimum(k, len(self.vocabulary) - 1)] == patterns) if len(self.vocabulary) else np.zeros(patterns.shape, bool)
-        low, high = np.zeros(len(patterns), np.int64), np.where(known.all(1), self.n, 0)
+        return self.search_symbols(self.symbols(patterns))
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        """Places of words in the vocabulary, -1 for those that the shard lacks."""
+        if not len(self.vocabulary):
+            return np.full(words.shape, -1, np.int64)
+        k = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[k] == words, k, -1)
+
+    def search_symbols(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        patterns = k
+        low, high = np.zeros(len(patterns), np.int64), np.where((k >= 0).all(1), self.n, 0)
         for step in range(patterns.shape[1] - 1, -1, -1):
             live = np.flatnonzero(low < high)
             if not len(live):
@@ -166,91 +178,102 @@ class FMIndex:
         return out
 
 
-def _phrases(items: DataFrame, item_id: str, text: str, words: int) -> DataFrame:
+def _sequences(texts: DataFrame, words: int, piece: int) -> DataFrame:
+    """kid, n, words: the word hashes of different test texts, in pieces that overlap by all but one word of a phrase."""
+
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                _, _, row, h = word_sequences(C.consistent(C.decode(piece.column("text"))))
-                k = np.arange(max(0, len(h) - words + 1))
-                k = k[row[k] == row[k + words - 1]] if len(k) else k
-                runs = h[k[:, None] + np.arange(words)] if len(k) else np.zeros((0, words), np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column("item_id").take(pa.array(row[k])), pa.Array.from_buffers(pa.binary(8 * words), len(k), [None, pa.py_buffer(np.ascontiguousarray(runs))]).cast(pa.binary())], ["item_id", "phrase"])
+            for part in pieces(batch, "text"):
+                _, _, row, h = word_sequences(C.consistent(C.decode(part.column("text"))))
+                ends = np.searchsorted(row, np.arange(part.num_rows), "right")
+                begins = np.searchsorted(row, np.arange(part.num_rows), "left")
+                found = [(k, h[at : min(at + piece, b)]) for k, (a, b) in enumerate(zip(begins, ends)) for at in range(int(a), max(int(b) - words + 1, int(a)), piece - words + 1)]
+                found = [(k, x) for k, x in found if len(x) >= words]
+                yield pa.RecordBatch.from_arrays([part.column("kid").take(pa.array([k for k, _ in found], pa.int64())), pa.array([len(x) for _, x in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["kid", "n", "words"])
 
-    rows = one_per_id(items.where(F.col(text).isNotNull()), item_id, text).select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "item_id string, phrase binary").distinct()
+    return texts.mapInArrow(run, "kid binary, n long, words binary")
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "id", text: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "id", text: str = "text", words: int = WORDS, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """doc_id, item_id, spans: each document and test item that have ``words`` consecutive words in common.
 
     spans: the merged stretches of the document, as start and end in characters of its consistent form.
     """
-    spark = docs.sparkSession
-    phrases = _phrases(items, item_id, text, words)
-    phrases = cut(phrases)
-    count = phrases.count()
-    blocks = max(1, -(-count // block))
+    named = one_per_id(items.where(F.col(text).isNotNull()), item_id, text).select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).withColumn("kid", F.unhex(F.md5("text")))
+    named = cut(named)
+    sequences = cut(_sequences(named.groupBy("kid").agg(F.min("text").alias("text")), words, max(piece, 2 * words)))
+    total = sequences.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block))
     kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("kid", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     result = None
-    for b in range(blocks):  # each block of the stated test items against all documents
-        part = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()
-        part.sort(key=lambda r: r.phrase)
-        names = sorted({r.item_id for r in part})
-        index = {x: k for k, x in enumerate(names)}
-        flat = np.frombuffer(b"".join(bytes(r.phrase) for r in part), np.uint64).reshape(len(part), words)
-        fresh = np.concatenate([[True], (flat[1:] != flat[:-1]).any(1)]) if len(part) else np.zeros(0, bool)
-        of = np.cumsum(fresh) - 1
-        shipped = spark.sparkContext.broadcast((np.ascontiguousarray(flat[fresh]), of, np.array([index[r.item_id] for r in part], np.int64), names))
+    for b in range(blocks):  # each block of the stated test texts against all documents
+        part = sequences.where(F.pmod(F.xxhash64("kid", "words"), F.lit(blocks)) == b).select("kid", "words").toArrow()
+        kids = part.column("kid").combine_chunks().dictionary_encode()
+        sizes = np.array([len(w) // 8 for w in part.column("words").to_pylist()], np.int64)
+        flat = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint64)
+        shipped = docs.sparkSession.sparkContext.broadcast((flat, sizes, np.asarray(kids.indices).astype(np.int64), kids.dictionary.to_pylist()))
         found = rows.mapInArrow(_searcher(shipped, words), schema)
         result = found if result is None else result.unionByName(found)
     if blocks > 1:
-        spans = result.select("doc_id", "item_id", F.explode("spans").alias("s")).select("doc_id", "item_id", "s.start", "s.end")
-        result = merged(spans, "doc_id", "item_id").groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return result
+        spans = result.select("doc_id", "kid", F.explode("spans").alias("s")).select("doc_id", "kid", "s.start", "s.end")
+        result = merged(spans, "doc_id", "kid").groupBy("doc_id", "kid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return result.join(named.select("item_id", "kid"), "kid").select("doc_id", "item_id", "spans")
 
 
 def _searcher(shipped, words: int):
     def run(batches):
-        phrases, of, item, names = shipped.value
-        bounds = np.searchsorted(of, np.arange(len(phrases) + 1))  # the items of each phrase
+        flat, sizes, of, kids = shipped.value
+        many = np.maximum(sizes - words + 1, 0)
+        base = np.cumsum(sizes) - sizes
+        start = np.repeat(base, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)  # of each phrase
+        text = np.repeat(of, many)
         for batch in batches:
             for piece in pieces(batch, "text", rows=1 << 20, size=SHARD):
                 form = C.consistent(C.decode(piece.column("text")))
                 s, e, row, h = word_sequences(form)
-                if not len(h) or not len(phrases):
+                if not len(h) or not len(start):
                     continue
                 index = FMIndex(h, row, piece.num_rows)
-                low, high = index.search(phrases)
-                many = high - low
-                if not many.sum():
-                    continue
-                phrase = np.repeat(np.arange(len(phrases)), many)
-                at = index.locate(low[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(many) - many, many))
-                doc = np.searchsorted(index.starts, at, "right") - 1
-                word = at - doc  # each earlier document has one mark
-                items = np.diff(bounds)[phrase]
-                k = np.repeat(np.arange(len(phrase)), items)
-                who = item[bounds[phrase[k]] + np.arange(len(k)) - np.repeat(np.cumsum(items) - items, items)]
-                doc, start, end = doc[k], s[word[k]], e[word[k] + words - 1]
-                order = np.lexsort((start, who, doc))
-                doc, who, start, end = doc[order], who[order], start[order], end[order]
-                pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])])
-                # ends rise with starts within a pair, so a span ends where the next start lies beyond the last end
-                gap = pair.copy()
-                gap[1:] |= start[1:] > end[:-1]
-                first = np.flatnonzero(gap)
-                last = np.append(first[1:], len(gap)) - 1
-                pairs = np.flatnonzero(pair)
-                base = form.off[doc[first]]
-                spans = pa.StructArray.from_arrays([pa.array(start[first] - base), pa.array(end[last] - base)], ["start", "end"])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first, pairs), len(first)).astype(np.int32)), spans)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(doc[pairs])), pa.array([names[x] for x in who[pairs]], pa.string()), lists], ["doc_id", "item_id", "spans"])
+                symbols = index.symbols(flat)
+                lacking = np.concatenate([[0], np.cumsum(symbols < 0)])
+                live = np.flatnonzero(lacking[start + words] == lacking[start])  # phrases all of whose words the shard has
+                found = []
+                for at in range(0, len(live), AT_ONCE):
+                    some = live[at : at + AT_ONCE]
+                    low, high = index.search_symbols(symbols[start[some][:, None] + np.arange(words)])
+                    hits = high - low
+                    k = np.repeat(np.arange(len(some)), hits)
+                    place = index.locate(low[k] + np.arange(len(k)) - np.repeat(np.cumsum(hits) - hits, hits))
+                    found.append(np.stack([place, text[some[k]]], 1))
+                hit = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                if len(hit):
+                    yield _spans_of(piece, index, form, hit, s, e, words, kids)
 
     return run
 
 
+def _spans_of(piece: pa.RecordBatch, index: FMIndex, form: C.Codes, hit: np.ndarray, s: np.ndarray, e: np.ndarray, words: int, kids: list) -> pa.RecordBatch:
+    """Merged stretches of each document and test text from the places of phrases."""
+    doc = np.searchsorted(index.starts, hit[:, 0], "right") - 1
+    word, who = hit[:, 0] - doc, hit[:, 1]  # each earlier document has one mark
+    start, end = s[word], e[word + words - 1]
+    order = np.lexsort((start, who, doc))
+    doc, who, start, end = doc[order], who[order], start[order], end[order]
+    pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])])
+    # ends rise with starts within a pair, so a span ends where the next start lies beyond the last end
+    gap = pair.copy()
+    gap[1:] |= start[1:] > end[:-1]
+    first = np.flatnonzero(gap)
+    last = np.append(first[1:], len(gap)) - 1
+    pairs = np.flatnonzero(pair)
+    base = form.off[doc[first]]
+    spans = pa.StructArray.from_arrays([pa.array(start[first] - base), pa.array(end[last] - base)], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first, pairs), len(first)).astype(np.int32)), spans)
+    return pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(doc[pairs])), pa.array([kids[x] for x in who[pairs]], pa.binary()), lists], ["doc_id", "kid", "spans"])
+
+
 def removal_spans(found: DataFrame) -> DataFrame:
     """doc_id, start, end: what to remove of each document, over all items that leaked into it."""
     return merged(found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end"), "doc_id")

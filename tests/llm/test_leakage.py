@@ -46,8 +46,8 @@ def test_suffix_array_and_index():
     assert tree.access(np.arange(300)).tolist() == v.tolist()
 
 
-@pytest.mark.parametrize("block", [100_000, 7])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, piece", [(100_000, 100_000), (60, 30)])
+def test_against_brute_force(spark, block, piece):
     rng = random.Random(3)
     vocabulary = "alpha Beta gamma Straße É x9 the of naïve İ ﬁx Οne".split()
     item_rows = [(f"q{k}", " ".join(rng.choices(vocabulary, k=rng.choice([5, 11, 12, 13, 40]))), 1) for k in range(25)]
@@ -63,7 +63,7 @@ def test_against_brute_force(spark, block):
         docs.append((k, rng.choice([" ", ", ", "\n— "]).join(w), "n"))
     docs += [(500, None, "n"), (501, "", "n"), (None, docs[0][1], "n")]
     d, q = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(item_rows, "id string, text string, doc_id int")
-    found = leaks(d, q, block=block)
+    found = leaks(d, q, block=block, piece=piece)
     rows = found.collect()
     got = {(r.doc_id, r.item_id) for r in rows}
     want = brute([r[:2] for r in docs if r[0] is not None and r[1]], [r[:2] for r in item_rows if r[0] and r[1]])
