@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.batches import map_arrow
+from ..functions.batches import pieces as cuts
 from ..functions.bitmaps import bitmap, within
 from ..session import cut
 from . import pieces as G
@@ -54,11 +55,15 @@ def _hashed(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def counts(texts: DataFrame) -> np.ndarray:
     """In how many texts the pieces of each counter stand."""
 
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        at, many = np.unique((_hashed(piece)[1] % np.uint64(COUNTERS)).astype(np.int32), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(many)], ["at", "many"])
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for piece in cuts(batch, "key"):
+                total += np.bincount((_hashed(piece)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)  # one sum for each task
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "many"])
 
-    found = map_arrow(texts.select("key"), run, "at int, many long", "key").groupBy("at").agg(F.sum("many").alias("many")).toArrow()
+    found = texts.select("key").mapInArrow(run, "at int, many long").groupBy("at").agg(F.sum("many").alias("many")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[found.column("at").to_numpy()] = found.column("many").to_numpy()
     return out
