@@ -9,7 +9,7 @@ score is found, with its distance.
 
 The score doesn't see where a passage stands, and edits that repeat what a text has already cost less than that. Pairs that reach the
 score through moved passages or such repetitions come by a second path: the prefix filter of ``segments``, whose candidates lose no
-pair; what the first path has found is left out of it, the exact score decides, and the distance is null.
+pair; the exact score decides for what the first path doesn't find, and the distance is null.
 
 Defined cases: rows without id, text or group belong to no pair; texts with one key are paired without a search; empty texts pair
 with empty ones (score 1); rows delivered twice count once; an empty side gives an empty result.
@@ -40,7 +40,7 @@ def banded_distances(a: C.Codes, b: C.Codes, band: np.ndarray) -> np.ndarray:
     """Edit distance of row i of a and of b where it is at most band[i], else -1; all rows of a batch advance together."""
     la, lb = np.diff(a.off), np.diff(b.off)
     out = np.full(len(la), -1, np.int64)
-    todo = np.flatnonzero(np.abs(la - lb) <= band)
+    todo = np.flatnonzero(np.abs(la - lb) <= band)  # a band below 0: none
     todo = todo[np.lexsort((la[todo], band[todo]))]
     at = 0
     while at < len(todo):
@@ -137,37 +137,30 @@ def candidates(ours: DataFrame, theirs: DataFrame, t: float, band: float) -> Dat
     sizes = f"a.n >= {t} * b.n - 1e-9 and b.n >= {t} * a.n - 1e-9"
     near = f"abs(a.pos - b.pos) <= ceil({band} * greatest(a.long, b.long))"
     found = a.join(b, "h").where(f"a.kid <> b.kid and {sizes} and {near} and {differ}")
-    return found.select(F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).distinct()
-
-
-def _with_keys(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    rows = pairs.join(a.select(F.col("kid").alias("kid_a"), F.col("key").alias("key_a")), "kid_a").join(b.select(F.col("kid").alias("kid_b"), F.col("key").alias("key_b")), "kid_b")
-    return rows.select("kid_a", "kid_b", "key_a", "key_b")
+    return found.select(F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b"))
 
 
 FOUND = "kid_a binary, kid_b binary, edits long, score double"
 
 
-def verified(pairs: DataFrame, a: DataFrame, b: DataFrame, t: float, band: float | None) -> DataFrame:
-    """FOUND: the candidates within the band that reach t; without a band, those that reach t, edits null."""
+def verified(pairs: DataFrame, a: DataFrame, b: DataFrame, t: float, band: float) -> DataFrame:
+    """FOUND: of the candidates (kid_a, kid_b, first, second: the paths they come by) those of the first path within the band, with
+    their edits, and others of the second path, that reach t."""
+    rows = pairs.join(a.select(F.col("kid").alias("kid_a"), F.col("key").alias("key_a")), "kid_a").join(b.select(F.col("kid").alias("kid_b"), F.col("key").alias("key_b")), "kid_b")
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        first, second = (np.asarray(piece.column(c)) for c in ("first", "second"))
         x, y = C.decode(piece.column("key_a")), C.decode(piece.column("key_b"))
-        edits = np.full(piece.num_rows, -1, np.int64)
-        some = np.arange(piece.num_rows)
-        if band is not None:
-            longer = np.maximum(np.diff(x.off), np.diff(y.off))
-            edits = banded_distances(x, y, np.ceil(band * longer).astype(np.int64))
-            some = np.flatnonzero(edits >= 0)
-            near = piece.take(pa.array(some))
-            x, y = C.decode(near.column("key_a")), C.decode(near.column("key_b"))
-        score = G.scores(x, y) if len(some) else np.zeros(0)
-        good = score >= t - 1e-12
-        keep = some[good]
+        longer = np.maximum(np.diff(x.off), np.diff(y.off))
+        edits = banded_distances(x, y, np.where(first, np.ceil(band * longer).astype(np.int64), -1))
+        near = piece.filter(pa.array((edits >= 0) | second))
+        edits = edits[(edits >= 0) | second]
+        score = G.scores(C.decode(near.column("key_a")), C.decode(near.column("key_b"))) if near.num_rows else np.zeros(0)
+        keep = np.flatnonzero(score >= t - 1e-12)
         at = pa.array(keep)
-        return pa.RecordBatch.from_arrays([piece.column("kid_a").take(at), piece.column("kid_b").take(at), pa.array(edits[keep], pa.int64(), mask=edits[keep] < 0), pa.array(score[good])], ["kid_a", "kid_b", "edits", "score"])
+        return pa.RecordBatch.from_arrays([near.column("kid_a").take(at), near.column("kid_b").take(at), pa.array(edits[keep], pa.int64(), mask=edits[keep] < 0), pa.array(score[keep])], ["kid_a", "kid_b", "edits", "score"])
 
-    return map_arrow(_with_keys(pairs, a, b), run, FOUND, "key_a", "key_b", size=1 << 19)
+    return map_arrow(rows.select("kid_a", "kid_b", "first", "second", "key_a", "key_b"), run, FOUND, "key_a", "key_b", size=1 << 19)
 
 
 def cross_split(df: DataFrame, held_out: Column, id_col: str = "id", text: str = "text", t: float = G.THRESHOLD, band: float = BAND) -> DataFrame:
@@ -179,9 +172,9 @@ def cross_split(df: DataFrame, held_out: Column, id_col: str = "id", text: str =
     # a text on both sides is looked up too: it may be near other texts
     texts = cut(S.with_counts(rows.where("held")).withColumn("held", F.lit(True)).unionByName(S.with_counts(rows.where("not held")).withColumn("held", F.lit(False))))
     ours, theirs = texts.where("held").drop("held"), texts.where("not held").drop("held")
-    edited = cut(verified(candidates(ours, theirs, t, band), ours, theirs, t, band))
-    others = S.candidates(ours, theirs, t).join(edited.select("kid_a", "kid_b"), ["kid_a", "kid_b"], "left_anti").select("kid_a", "kid_b")
-    near = edited.unionByName(verified(others, ours, theirs, t, None))
+    path = lambda rows, first: rows.select("kid_a", "kid_b", F.lit(first).alias("first"), F.lit(not first).alias("second"))
+    both = path(candidates(ours, theirs, t, band), True).unionByName(path(S.candidates(ours, theirs, t), False))
+    near = verified(both.groupBy("kid_a", "kid_b").agg(F.bool_or("first").alias("first"), F.bool_or("second").alias("second")), ours, theirs, t, band)
     equal = ours.select("kid").intersect(theirs.select("kid")).select(F.col("kid").alias("kid_a"), F.col("kid").alias("kid_b"), F.lit(0).cast("long").alias("edits"), F.lit(1.0).alias("score"))
     return G.expand_pairs(near.unionByName(equal), ids.where("held"), ids.where("not held"), "edits", "score")
 
