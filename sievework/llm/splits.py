@@ -151,14 +151,14 @@ def verified(pairs: DataFrame, a: DataFrame, b: DataFrame, t: float, band: float
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         first, second = (np.asarray(piece.column(c)) for c in ("first", "second"))
         x, y = C.decode(piece.column("key_a")), C.decode(piece.column("key_b"))
+        score = G.scores(x, y)
+        high = score >= t - 1e-12
         longer = np.maximum(np.diff(x.off), np.diff(y.off))
-        edits = banded_distances(x, y, np.where(first, np.ceil(band * longer).astype(np.int64), -1))
-        near = piece.filter(pa.array((edits >= 0) | second))
-        edits = edits[(edits >= 0) | second]
-        score = G.scores(C.decode(near.column("key_a")), C.decode(near.column("key_b"))) if near.num_rows else np.zeros(0)
-        keep = np.flatnonzero(score >= t - 1e-12)
+        # both conditions hold for a pair of the first path; the cheaper one is looked at first
+        edits = banded_distances(x, y, np.where(first & high, np.ceil(band * longer).astype(np.int64), -1))
+        keep = np.flatnonzero(high & ((edits >= 0) | second))
         at = pa.array(keep)
-        return pa.RecordBatch.from_arrays([near.column("kid_a").take(at), near.column("kid_b").take(at), pa.array(edits[keep], pa.int64(), mask=edits[keep] < 0), pa.array(score[keep])], ["kid_a", "kid_b", "edits", "score"])
+        return pa.RecordBatch.from_arrays([piece.column("kid_a").take(at), piece.column("kid_b").take(at), pa.array(edits[keep], pa.int64(), mask=edits[keep] < 0), pa.array(score[keep])], ["kid_a", "kid_b", "edits", "score"])
 
     return map_arrow(rows.select("kid_a", "kid_b", "first", "second", "key_a", "key_b"), run, FOUND, "key_a", "key_b", size=1 << 19)
 
