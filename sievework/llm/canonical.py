@@ -237,6 +237,7 @@ def canonical(df: DataFrame, value: str, names: DataFrame, label: str = "label",
     first = cut(_matched(_prepared(values), lists, threshold, False))
     mentioned = first.where("best is not null")
     rest = cut(_plain(first.where("best is null"), mentioned, named))
-    found = mentioned.unionByName(_matched(rest.repartition(F.col("value")), lists, threshold, True)).where("best is not null").select(F.col("value").alias(copied), F.col("best").alias("_best"))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few values still mean much work
+    found = mentioned.unionByName(_matched(rest.repartition(tasks, "value"), lists, threshold, True)).where("best is not null").select(F.col("value").alias(copied), F.col("best").alias("_best"))
     label_of = F.when(F.col(copied).isNotNull(), F.coalesce("_best", F.lit(UNMATCHED)))
     return rows.join(found, copied, "left").select(*(F.col(c) for c in rows.columns if c != "_typed"), label_of.alias(out))
