@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut
 from . import similarity, validate
 from .validate import duplicate_ids
 
@@ -138,24 +139,26 @@ def check_slice(slice_name: str, lines: DataFrame, other_lines: DataFrame, attac
     """REPORT of one quoting slice (lines) against the other (other_lines) and the held-out attacks (id, text, place).
 
     Pairs within the slice and across both count; problems of the other slice's lines don't. Overlaps name ids, never texts.
+    What several findings read is written first, so that the plan of the report, which the driver holds, stays small.
     """
-    rows = checked(lines, QUOTING, validate.quoting_rules())
+    rows = cut(checked(lines, QUOTING, validate.quoting_rules()))
     sound = rows.where(F.size("found") == 0)
     elsewhere = sound.where(F.col("slice") != slice_name)
     template = F.col("id").startswith("TEMPLATE")
     mine = sound.where((F.col("slice") == slice_name) & ~template)
-    unique = validate.first_rows(mine.drop("found"), "id", "line_no")
+    unique = cut(validate.first_rows(mine.drop("found"), "id", "line_no"))
     rest = records(other_lines, QUOTING).where((F.col("slice") != slice_name) & ~template)
     n = unique.agg(F.count(F.lit(1)).alias("n"))
     collapsed = X.collapse(F.col("text"))
-    across = similarity.cross_pairs(unique, rest, "id", collapsed)
+    across = cut(similarity.cross_pairs(unique, rest, "id", collapsed))
+    near, overlaps = cut(_near(unique)), cut(validate.window_overlap(unique, attacks))
     frozen = slice_name == "frozen"
     size = F.col("n") != validate.FROZEN_N if frozen else ~F.col("n").between(*validate.DEV_RANGE)
     unread = unique.where(~F.col("reviewed"))
     return _all(
-        _line_errors(rows), _report(elsewhere, "error", "other_slice", F.col("line_no"), F.col("id"), F.col("slice")), _repeats(mine), _near(unique),
+        _line_errors(rows), _report(elsewhere, "error", "other_slice", F.col("line_no"), F.col("id"), F.col("slice")), _repeats(mine), near,
         _report(across, "error", F.when(F.col("score") == 1.0, "exact_duplicate_across").otherwise("near_duplicate_across"), None, F.col("left_id"), F.col("right_id"), F.col("score")),
-        _report(validate.window_overlap(unique, attacks), "error", "overlap", None, F.col("row_id"), F.col("attack_id")),
+        _report(overlaps, "error", "overlap", None, F.col("row_id"), F.col("attack_id")),
         _too_few(n, size),
         *([_report(unread, "error", "not_reviewed", F.col("line_no"), F.col("id"))] if frozen else []),
         _report(sound.where((F.col("slice") == slice_name) & template).agg(F.count(F.lit(1)).alias("n")).where("n > 0"), "note", "templates_ignored", None, None, None, F.col("n")),

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import codes as C
 from ..functions import text as X
-from ..functions.batches import map_arrow
-from ..functions.bitmaps import bitmap, within
+from ..functions.batches import map_arrow, pieces
+from ..functions.bitmaps import bitmap, gathered, within
 from ..session import cut
 
 # Closed vocabularies and bounds of the two kinds of own records.
@@ -22,6 +22,7 @@ SHADOWING_FIELDS, SHADOWING_OPTIONAL = ("id", "author", "channel", "family", "te
 QUOTING_FIELDS = ("id", "author", "slice", "source_type", "form", "channel", "reviewed", "text")
 TEMPLATE, MIN_N, MIN_TECHNIQUES, MAX_TECHNIQUE_SHARE = "TEMPLATE", 35, 5, 0.30
 FROZEN_N, DEV_RANGE, MAX_SOURCE_SHARE, VERBATIM_RANGE, WINDOW = 200, (40, 60), 0.20, (0.40, 0.60), 30
+MANY = 1 << 20  # stretches of attacks from which on those that no row has are held back
 
 
 def _one_of(name: str, values: tuple[str, ...]) -> Column:
@@ -127,16 +128,30 @@ def windows(keys: DataFrame, size: int = WINDOW, wanted=None) -> DataFrame:
     return map_arrow(keys.select("id", "key"), run, schema, "key")
 
 
+def _stretch_bits(keys: DataFrame, size: int, wanted=None) -> np.ndarray:
+    """Bitmap of the first hashes of all stretches of collapsed texts (id, key); only of the wanted ones."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        found = [_stretches(C.decode(p.column("key")), size)[2].view(np.uint64) for p in pieces(batch, "key")]
+        found = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return found if wanted is None else found[within(wanted.value, found)]
+
+    return gathered(keys.select("key"), hashes)
+
+
 def window_overlap(rows: DataFrame, attacks: DataFrame, size: int = WINDOW) -> DataFrame:
     """row_id, attack_id: each row that shares a stretch with an attack, by its first stretch that does; of attacks, the first
     in order (attacks: id, text, place).
 
-    A bitmap of the attacks' stretches holds back nearly all stretches of the rows before the shuffle. Attack stretches are unique in the
-    join, so one that every text has meets one row.
+    A bitmap of the attacks' stretches holds back nearly all stretches of the rows before the shuffle, and one of what is left those of
+    many attacks. Attack stretches are unique in the join, so one that every text has meets one row.
     """
     key = X.collapse(X.normalize(F.col("text")))
-    attack_keys = attacks.where("text is not null").select(F.struct("place", "id").alias("id"), key.alias("key"))
-    mine = cut(windows(attack_keys, size).groupBy("h", "m").agg(F.min("id").alias("who")).select("h", "m", "who"))
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(mine, "h"))
-    texts = rows.where("id is not null and text is not null").select("id", key.alias("key"))
+    send = rows.sparkSession.sparkContext.broadcast
+    attack_keys = cut(attacks.where("text is not null").select(F.struct("place", "id").alias("id"), key.alias("key")))
+    texts = cut(rows.where("id is not null and text is not null").select("id", key.alias("key")))
+    rough = _stretch_bits(attack_keys, size)
+    shared = send(_stretch_bits(texts, size, send(rough))) if int(np.bitwise_count(rough).sum()) >= MANY else None
+    mine = cut(windows(attack_keys, size, shared).groupBy("h", "m").agg(F.min("id").alias("who")).select("h", "m", "who"))
+    wanted = send(bitmap(mine, "h"))
     return windows(texts, size, wanted).join(mine, ["h", "m"]).groupBy(F.col("id").alias("row_id")).agg(F.min_by(F.col("who.id"), "pos").alias("attack_id"))

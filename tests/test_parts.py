@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import parts, similarity
+from sievework.operators import parts, similarity, validate
 
 from .test_operators import score
 
@@ -48,3 +48,11 @@ def test_pairs_within_ranges(monkeypatch):
     sided = token[:5] | np.array([0, 1 | 1 << parts.NUMBER_BITS, 2 | 1 << 31, 3 | 1 << 31, 4 | 1 << 31 | 1 << parts.NUMBER_BITS], np.uint64)
     got = [p for a, b in parts._meetings(sided, False) for p in zip(a.tolist(), b.tolist())]
     assert sorted(got) == [(0, 2), (0, 3), (0, 4), (1, 2), (1, 3)]
+
+
+def test_overlap_with_many_attacks(spark, monkeypatch):
+    monkeypatch.setattr(validate, "MANY", 1)  # attack stretches that no row has are held back
+    attacks = spark.createDataFrame([("b", "x" * 10 + "the quick brown fox jumps over the lazy dog", 1), ("a", "THE quick brown fox jumps over the lazy", 2), ("s", "tiny", 3)], "id string, text string, place int")
+    texts = spark.createDataFrame([("1", "so the quick  brown fox jumps over the moon"), ("2", "nothing of that sort stands in here at all"), ("3", "Tiny"), ("4", "")], "id string, text string")
+    assert {tuple(r) for r in validate.window_overlap(texts, attacks).collect()} == {("1", "b"), ("3", "s")}
+    assert validate.window_overlap(texts.where("id = '2'"), attacks).count() == 0 and validate.window_overlap(texts, attacks.limit(0)).count() == 0
