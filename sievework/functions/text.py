@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -18,17 +19,32 @@ from .batches import pieces
 # The white space that str.split() splits at, as a class of the engine's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 GRAM, SHORT_WORDS, MEDIUM_WORDS = 5, 25, 45
+COLLAPSED = 1 << 17  # bytes of text folded at a time
 REDACTED, TAG_REMOVED = "<redacted>", "[fence tag removed]"
 KEY = r"nvapi-[A-Za-z0-9_-]{20,}"  # how a key that leaked looks
 OPEN_TAG, CLOSE_TAG = "<untrusted_text>", "</untrusted_text>"
 _TAGS = re.compile("[\U000e0000-\U000e007f]")
-_SELECTORS = re.compile("[︀-️\U000e0100-\U000e01ef]")
+_RUNS = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")  # ASCII changes only where a mark follows
+SELECTORS = "︀-️\U000e0100-\U000e01ef"
+
+
+@functools.lru_cache(maxsize=1)
+def _unseen() -> re.Pattern:
+    """Variation selectors and all format characters."""
+    return re.compile(f"[{SELECTORS}{''.join(re.escape(c) for c in map(chr, range(C.LIMIT)) if unicodedata.category(c) == 'Cf')}]+")
 
 
 def normalized(text: str) -> str:
     """Version 1 of the normalizer: tag characters made visible, NFKC, variation selectors and format characters dropped."""
+    return _RUNS.sub(lambda m: _normalized_run(m[0]) if len(m[0]) <= 16 else _normalized(m[0]), text)
+
+
+def _normalized(text: str) -> str:
     shown = _TAGS.sub(lambda m: f"<U+{ord(m[0]):04X}>", text)
-    return "".join(c for c in _SELECTORS.sub("", unicodedata.normalize("NFKC", shown)) if unicodedata.category(c) != "Cf")
+    return _unseen().sub("", unicodedata.normalize("NFKC", shown))
+
+
+_normalized_run = functools.lru_cache(maxsize=1 << 16)(_normalized)
 
 
 def collapsed(text: str) -> str:
@@ -46,8 +62,22 @@ def _normalize(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def _collapse(texts: pa.Array) -> pa.Array:
-    """Over whole batches as code points, cut so that memory stays bounded."""
-    found = [C.encode(C.collapsed(C.decode(p.column("t"))), np.asarray(p.column("t").is_null())) for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+    """ASCII as bytes, other texts as code points, in slices of a size that stays in the processor's cache."""
+    found = []
+    for p in pieces(pa.RecordBatch.from_arrays([texts], ["t"]), "t", size=COLLAPSED):
+        t = p.column("t")
+        plain = pc.fill_null(pc.string_is_ascii(t), False)
+        if pc.all(plain).as_py():
+            found.append(C.collapsed_ascii(t))
+            continue
+        other = t.filter(pc.invert(plain))
+        done = C.encode(C.collapsed(C.decode(other)), np.asarray(other.is_null()))
+        if len(other) == len(t):
+            found.append(done)
+            continue
+        ascii_too = np.asarray(plain)
+        place = np.where(ascii_too, np.cumsum(ascii_too) - 1, ascii_too.sum() + np.cumsum(~ascii_too) - 1)
+        found.append(pa.concat_arrays([C.collapsed_ascii(t.filter(plain)), done]).take(pa.array(place)))
     return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
 

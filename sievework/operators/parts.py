@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.batches import map_arrow
+from ..functions.batches import pieces as cuts
 from ..session import cut
 from . import pieces as G
 from . import segments as S
@@ -29,7 +29,7 @@ from . import segments as S
 SPREAD = 1.2  # parts for each token that a text can need
 WEIGHTS = 24  # of a piece that one text has; of one that all have 1
 NUMBER_BITS, SPLIT_BITS = 30, 33  # of a text's number; of a row within its task, as the engine counts
-ENTRIES, PAIRS = 1 << 22, 1 << 21  # tokens for each task that brings them together; pairs at a time
+ENTRIES, PAIRS, SENT = 1 << 22, 1 << 21, 1 << 19  # tokens for each task that brings them together; pairs at a time; tokens sent at a time
 
 
 class Numbered(NamedTuple):
@@ -88,15 +88,14 @@ def _entries(texts: Numbered, shipped, t: float, buckets: int, side: int) -> Dat
     class, and the text's number."""
     tasks, begins = texts.tasks, texts.begins
 
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch | None:
+    def tokens(piece: pa.RecordBatch):
         weights, edges, parts = shipped.value
         pack = G.distinct(G.packed(C.decode(piece.column("key")))[0])
         piece_row, h = G.rows_of(pack), C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31)
         n = np.bincount(piece_row, minlength=piece.num_rows)
         no = np.asarray(piece.column("no"))
         number = (begins[np.searchsorted(tasks, no >> SPLIT_BITS)] + (no & ((1 << SPLIT_BITS) - 1))).astype(np.uint64)
-        weigh, content = weights[(h % np.uint64(S.COUNTERS)).astype(np.int64)].astype(np.float64), C.mix(h, 5)
-        found, to = [], []
+        weigh, content, high = weights[(h & np.uint64(S.COUNTERS - 1)).astype(np.int64)].astype(np.float64), C.mix(h, 5), h >> np.uint64(32)
         for visits in (0, 1):
             own = np.maximum(np.searchsorted(edges, n, "right") - 1, 0) + visits
             most = np.minimum(edges[own + 1] - 1, np.floor(n / t + 1e-9).astype(np.int64))  # the largest partner there
@@ -105,9 +104,9 @@ def _entries(texts: Numbered, shipped, t: float, buckets: int, side: int) -> Dat
             begin, all_parts = np.cumsum(k) - k, int(k.sum())
             if not all_parts:
                 continue
-            mine = live[piece_row]
-            row = piece_row[mine]
-            at = begin[row] + (((h[mine] >> np.uint64(32)) * k[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            many = np.where(live, n, 0)
+            mine = slice(None) if many.sum() == len(h) else live[piece_row]
+            at = ((high[mine] * np.repeat(k.astype(np.uint64), many)) >> np.uint64(32)).view(np.int64) + np.repeat(begin, many)
             token = np.zeros(all_parts, np.uint64)
             np.add.at(token, at, content[mine])
             weight = np.bincount(at, weights=weigh[mine], minlength=all_parts).astype(np.int64)
@@ -116,18 +115,28 @@ def _entries(texts: Numbered, shipped, t: float, buckets: int, side: int) -> Dat
             token = C.mix(token ^ C.mix(name, 9), 3)
             first = _first(token, weight, row, begin, _apart(t, n + most) + 1)
             token, row = token[first], row[first]
-            found.append((token << np.uint64(32)) | np.uint64(side << 31 | visits << NUMBER_BITS) | number[row])
-            to.append(((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
-        if not found:
-            return None
-        entries, bucket = np.concatenate(found), np.concatenate(to)
+            yield (token << np.uint64(32)) | np.uint64(side << 31 | visits << NUMBER_BITS) | number[row], ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+    def packed(found) -> pa.RecordBatch:
+        entries, bucket = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         offsets = np.concatenate([[0], ends]).astype(np.int64) * 8
         blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), buckets, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries[order].tobytes())]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), blobs], ["bucket", "entries"])
 
-    return map_arrow(texts.texts.select("key", "no"), run, "bucket int, entries binary", "key")
+    def run(batches):
+        found = []
+        for batch in batches:
+            for piece in cuts(batch, "key", size=G.BYTES):
+                found.extend(tokens(piece))
+                if sum(len(x) for x, _ in found) > SENT:
+                    yield packed(found)
+                    found = []
+        if found:
+            yield packed(found)
+
+    return texts.texts.select("key", "no").mapInArrow(run, "bucket int, entries binary")
 
 
 def _ranges(i: np.ndarray, low: np.ndarray, high: np.ndarray):

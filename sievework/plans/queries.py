@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import replies, stats
 from ..functions import text as X
 from ..operators import calls, drafts, frozen, gates, manifest, reports, scoring, similarity, validate
-from ..session import table
+from ..session import cut, table
 from ..sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,8 +197,8 @@ def exact_dedupe(spark, folder):
 
 def dedupe_pipeline(spark, folder):
     """The whole of it: normalized, deduplicated, split; per family what is left."""
-    rows = items(spark, folder)
-    kept = similarity.greedy(rows, X.collapse(X.normalize(F.col("text"))), F.col("family").isin(*manifest.HELD_OUT)).where("kept")
+    rows = cut(items(spark, folder).select("id", "family"))
+    kept = similarity.greedy(table(spark, folder, "item", "id", "text", "family"), X.collapse(X.normalize(F.col("text"))), F.col("family").isin(*manifest.HELD_OUT)).where("kept")
     return manifest.family_table(rows, rows.join(kept.select("id"), "id", "left_semi"))
 
 

@@ -1,13 +1,18 @@
 import json
+import random
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sievework.functions import codes as C
 from sievework.functions import replies, stats
 from sievework.functions import text as X
+from sievework.operators import pieces as G
 
 
 def column(spark, values, expr, kind="string"):
@@ -86,3 +91,29 @@ def test_spans_and_drafts(spark):
 @settings(max_examples=200, deadline=None)
 def test_normalizer_is_idempotent(text):
     assert X.normalized(X.normalized(text)) == X.normalized(text)
+
+
+def test_normalizer_takes_only_what_is_not_ascii(monkeypatch):
+    seen, whole = [], unicodedata.normalize
+    monkeypatch.setattr(X.unicodedata, "normalize", lambda form, t: seen.append(len(t)) or whole(form, t))
+    text = "plain " * 500 + "cafe\u0301 \ufb01n\u200b \U000e0068" + " plain" * 500
+    assert X.normalized(text) == "plain " * 500 + "caf\u00e9 fin <U+E0068>" + " plain" * 500
+    assert sum(seen) < 50
+
+
+def test_ascii_is_collapsed_as_other_texts_are():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("aB \t\n\x1f\x0b-" + "\u00e9\u00df\u00a0\u3000" * (k % 2), k=k % 23)) for k in range(500)]
+    assert C.collapsed_ascii(pa.array(texts[::2])).to_pylist() == [X.collapsed(t) for t in texts[::2]]
+    assert X._collapse.func(pa.array([*texts, None])).to_pylist() == [*map(X.collapsed, texts), None]
+
+
+def test_pieces_of_equal_characters_have_equal_hashes():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab\u00e9\U0001d400", k=rng.choice([0, 1, 3, 4, 5, 6, 40]))) for _ in range(600)]
+    hashed, start = G.packed(C.decode(pa.array(texts)))
+    size, row = G.positions(C.decode(pa.array(texts)))[1:]
+    assert (G.rows_of(hashed) == row).all()
+    flat = "".join(texts)
+    pairs = {(flat[s : s + n], h) for s, n, h in zip(start.tolist(), size.tolist(), (hashed & np.uint64((1 << 52) - 1)).tolist())}
+    assert len(pairs) == len({p for p, _ in pairs}) == len({h for _, h in pairs})

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievework.operators import parts, similarity, validate
@@ -50,6 +51,42 @@ def test_pairs_within_ranges(monkeypatch):
     assert sorted(got) == [(0, 2), (0, 3), (0, 4), (1, 2), (1, 3)]
 
 
+def chain(n):
+    """Texts each of which is like its neighbours only."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60 + 4 * n)]
+    return [(f"c{k:03}", " ".join(words[4 * k : 4 * k + 60])) for k in range(n)]
+
+
+def test_long_chains_take_no_round_each(spark, monkeypatch):
+    rows = chain(30)
+    assert score(rows[0][1], rows[1][1]) >= 0.85 > score(rows[0][1], rows[2][1])
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = {i: k % 2 == 0 for k, (i, _) in enumerate(rows)}  # each second one is dropped by the one before
+    written, write = [], similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, *by: written.append(1) or write(df, *by))
+    got = similarity.greedy(df, F.col("text"), F.lit(True)).collect()
+    assert {r.id: r.kept for r in got} == want and all(r.kept or r.of == f"c{int(r.id[1:]) - 1:03}" for r in got)
+    assert len(written) < 12
+    short = df.where("id < 'c008'")
+    monkeypatch.setattr(similarity, "FEW", 0)  # by rounds only
+    assert {r.id: r.kept for r in similarity.greedy(short, F.col("text"), F.lit(True)).collect()} == {i: k for i, k in want.items() if i < "c008"}
+
+
+def test_settled_links():
+    rng = random.Random(9)
+    for _ in range(50):
+        links = [(a, b) for a in range(20) for b in range(a + 1, 20) if rng.random() < 0.15]
+        gone = set()
+        for v in range(20):
+            if any(b == v and a not in gone for a, b in links):
+                gone.add(v)
+        rng.shuffle(links)
+        batches = [pa.RecordBatch.from_arrays([pa.array([bytes([x[k]]) for x in part], pa.binary()) for k in (0, 1)], ["before", "after"]) for part in (links[:7], links[7:])]
+        assert {x[0] for b in similarity._settled(batches) for x in b.column("kid").to_pylist()} == gone
+    assert list(similarity._settled([])) == []
+
+
 def test_overlap_with_many_attacks(spark, monkeypatch):
     monkeypatch.setattr(validate, "MANY", 1)  # attack stretches that no row has are held back
     attacks = spark.createDataFrame([("b", "x" * 10 + "the quick brown fox jumps over the lazy dog", 1), ("a", "THE quick brown fox jumps over the lazy", 2), ("s", "tiny", 3)], "id string, text string, place int")
