@@ -188,7 +188,7 @@ def leakage_pairs(spark, folder):
 
 
 def greedy_dedupe(spark, folder):
-    return similarity.greedy(items(spark, folder), X.collapse(F.col("text")), F.col("family").isin(*manifest.HELD_OUT))
+    return similarity.greedy(table(spark, folder, "item", "id", "text", "family"), X.collapse(F.col("text")), F.col("family").isin(*manifest.HELD_OUT))
 
 
 def exact_dedupe(spark, folder):
