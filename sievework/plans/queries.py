@@ -178,7 +178,7 @@ def near_pairs(spark, folder):
 
 
 def closest_pairs(spark, folder):
-    return similarity.closest(near_pairs(spark, folder))
+    return similarity.closest_rows(table(spark, folder, "item", "id", "text"), "id", X.collapse(F.col("text")))
 
 
 def leakage_pairs(spark, folder):

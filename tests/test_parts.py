@@ -87,6 +87,22 @@ def test_settled_links():
     assert list(similarity._settled([])) == []
 
 
+def test_closest_rows(spark, monkeypatch):
+    texts = common_pieces(5, 250)
+    once = [(f"t{k:03}", t) for k, t in enumerate(texts)]
+    copies = [*once, *((f"s{k:03}", texts[7]) for k in range(9)), *((f"u{k}", texts[100]) for k in range(2)), ("t003", texts[3])]
+    same_set = [*once, ("v", "pa " * 9 + "pa"), ("w", "pa " * 12 + "pa")]  # unequal texts of the same pieces
+    for rows in (once, copies, same_set):
+        df = spark.createDataFrame(rows, "id string, text string")
+        want = [tuple(r) for r in similarity.closest(similarity.self_pairs(df.distinct(), "id", F.col("text"))).collect()]
+        assert [tuple(r) for r in similarity.closest_rows(df, "id", F.col("text")).collect()] == want
+    asked, find = [], parts.candidates
+    monkeypatch.setattr(parts, "candidates", lambda x, y, t: asked.append(t) or find(x, y, t))
+    assert similarity.closest_rows(spark.createDataFrame(copies, "id string, text string"), "id", F.col("text")).count() == 5
+    assert asked == [1.0]  # five copies: nothing else is looked for
+    assert similarity.closest_rows(df.limit(0), "id", F.col("text")).count() == 0
+
+
 def test_overlap_with_many_attacks(spark, monkeypatch):
     monkeypatch.setattr(validate, "MANY", 1)  # attack stretches that no row has are held back
     attacks = spark.createDataFrame([("b", "x" * 10 + "the quick brown fox jumps over the lazy dog", 1), ("a", "THE quick brown fox jumps over the lazy", 2), ("s", "tiny", 3)], "id string, text string, place int")
