@@ -28,6 +28,8 @@ from . import segments as S
 
 SPREAD = 1.2  # parts for each token that a text can need
 WEIGHTS = 24  # of a piece that one text has; of one that all have 1
+COMMON = 3  # tokens that partners share at least, where their class has so many; below 4, see NEED
+NEED = np.uint64(3)  # bits of a token that say how many of its class partners share
 NUMBER_BITS, SPLIT_BITS = 30, 33  # of a text's number; of a row within its task, as the engine counts
 ENTRIES, PAIRS, SENT = 1 << 22, 1 << 21, 1 << 19  # tokens for each task that brings them together; pairs at a time; tokens sent at a time
 
@@ -65,6 +67,11 @@ def classes(t: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     return edges, np.maximum(needed, (SPREAD * needed).astype(np.int64))
 
 
+def needs(t: float, edges: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Common tokens of any two partners that meet in a class, COMMON at most: all of its parts but those that can differ."""
+    return np.minimum(COMMON, parts - _apart(t, 2 * (edges[1:] - 1)))
+
+
 def _apart(t: float, both: np.ndarray) -> np.ndarray:
     """How many pieces stand in one set only, at most, of two sets that score t and have ``both`` pieces together."""
     return np.floor((1 - t) / (1 + t) * both + 1e-9).astype(np.int64)
@@ -89,7 +96,7 @@ def _entries(texts: Numbered, shipped, t: float, buckets: int, side: int) -> Dat
     tasks, begins = texts.tasks, texts.begins
 
     def tokens(piece: pa.RecordBatch):
-        weights, edges, parts = shipped.value
+        weights, edges, parts, need = shipped.value
         pack = G.distinct(G.packed(C.decode(piece.column("key")))[0])
         piece_row, h = G.rows_of(pack), C.mix(pack & np.uint64((1 << (64 - G.ROW_BITS)) - 1), 31)
         n = np.bincount(piece_row, minlength=piece.num_rows)
@@ -112,8 +119,8 @@ def _entries(texts: Numbered, shipped, t: float, buckets: int, side: int) -> Dat
             weight = np.bincount(at, weights=weigh[mine], minlength=all_parts).astype(np.int64)
             row = np.repeat(np.arange(piece.num_rows), k)
             name = (own[row].astype(np.uint64) << np.uint64(48)) | (np.arange(all_parts) - begin[row]).astype(np.uint64)
-            token = C.mix(token ^ C.mix(name, 9), 3)
-            first = _first(token, weight, row, begin, _apart(t, n + most) + 1)
+            token = (C.mix(token ^ C.mix(name, 9), 3) & ~NEED) | need[own[row]].astype(np.uint64)
+            first = _first(token, weight, row, begin, _apart(t, n + most) + need[own])
             token, row = token[first], row[first]
             yield (token << np.uint64(32)) | np.uint64(side << 31 | visits << NUMBER_BITS) | number[row], ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -192,7 +199,7 @@ def candidates(queries: Numbered, others: Numbered | None, t: float) -> DataFram
     texts = sum(int(x.begins[-1]) for x in tables)
     scale = (WEIGHTS - 1) / np.log2(max(texts, 2))
     weights = (1 + np.clip(np.log2(max(texts, 1) / np.maximum(counts, 1)), 0, None) * scale).astype(np.uint8)
-    shipped = spark.sparkContext.broadcast((weights, edges, parts))
+    shipped = spark.sparkContext.broadcast((weights, edges, parts, needs(t, edges, parts)))
     tokens = 3 * sum(x.total for x in tables) * (1 - t) / (1 + t)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens) // ENTRIES + 1)
     sent = _entries(queries, shipped, t, buckets, 0)
@@ -203,12 +210,16 @@ def candidates(queries: Numbered, others: Numbered | None, t: float) -> DataFram
         blobs = [np.frombuffer(x, np.uint64) for batch in batches for x in batch.column("entries").to_pylist()]
         entries = np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)
         del blobs
-        for a, b in _meetings(entries, same) if len(entries) else ():
-            pair = np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(_no(x, y).astype(np.int64)) for x, y in ((pair >> np.uint64(32), places[0]), (pair & np.uint64(0xFFFFFFFF), places[-1]))], ["no_a", "no_b"])
+        need = (entries >> np.uint64(32)) & NEED
+        for k in range(1, COMMON + 1):
+            some = entries[need == k]
+            for a, b in _meetings(some, same) if len(some) else ():
+                pair, hits = np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), return_counts=True)
+                numbers = [pa.array(_no(x, y).astype(np.int64)) for x, y in ((pair >> np.uint64(32), places[0]), (pair & np.uint64(0xFFFFFFFF), places[-1]))]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(hits), pa.array(np.full(len(pair), k))], ["no_a", "no_b", "hits", "need"])
 
     places = [(x.tasks, x.begins) for x in tables]
-    pairs = sent.repartitionById(buckets, "bucket").select("entries").mapInArrow(run, "no_a long, no_b long").distinct()
+    pairs = sent.repartitionById(buckets, "bucket").select("entries").mapInArrow(run, "no_a long, no_b long, hits long, need long").groupBy("no_a", "no_b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need").drop("hits", "need")
     sketch = lambda x, s: x.texts.select(*(F.col(c).alias(f"{c}_{s}") for c in ("no", *S.CARRIED)))
     found = pairs.join(sketch(tables[0], "a").hint("shuffle_hash"), "no_a").join(sketch(tables[-1], "b").hint("shuffle_hash"), "no_b")
     differ = f"{' + '.join(f'bit_count({x}_a ^ {x}_b)' for x in S.BITS)} <= {(1 - t) / (1 + t)} * (n_a + n_b) + 1e-9"

@@ -51,6 +51,26 @@ def test_pairs_within_ranges(monkeypatch):
     assert sorted(got) == [(0, 2), (0, 3), (0, 4), (1, 2), (1, 3)]
 
 
+def test_partners_share_several_tokens(spark):
+    """Of texts that share a token by chance none is left; none that scores is lost (sizes about all edges of classes)."""
+    edges, k = parts.classes(0.85, 3000)
+    need = parts.needs(0.85, edges, k)
+    assert need.min() == 1 and need.max() == parts.COMMON and (need <= k - parts._apart(0.85, 2 * (edges[1:] - 1))).all()
+    rng, rows = random.Random(8), []
+    for n in [4, 5, 6, 8, 9, 12, 14, 16, 20, 25, 30, 36, 45, 60, 80, 110, 150, 220, 300, 420] * 6:
+        text = "".join(rng.choices("abcdefgh", k=n))
+        at = rng.randrange(n)
+        rows += [text, text[:at] + rng.choice(["", "xy", "z"]) + text[at + rng.choice([0, 1]) :], text + "".join(rng.choices("ab", k=n // 7))]
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame([(f"t{k:03}", t) for k, t in enumerate(rows)], "id string, text string")
+    want = {(f"t{i:03}", f"t{j:03}") for i in range(len(rows)) for j in range(i + 1, len(rows)) if 0.8 < len(rows[i]) / len(rows[j]) < 1.25 if score(rows[i], rows[j]) >= 0.85}
+    assert len(want) > 100 and {(r.id_a, r.id_b) for r in similarity.self_pairs(df, "id", F.col("text")).collect()} == want
+    common = spark.createDataFrame([(f"t{k:03}", t) for k, t in enumerate(" ".join(rng.choices(WORDS, k=40)) for _ in range(600))], "id string, text string")
+    texts = parts.numbered(similarity.keyed(common, "id", F.col("text")))
+    found = parts.candidates(texts, None, 0.85)
+    assert found.count() == 0 and "hits" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def chain(n):
     """Texts each of which is like its neighbours only."""
     rng = random.Random(6)
