@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.operators import calls, drafts, frozen, manifest, reports
+from sievework.plans import queries
 from sievework.sources import files
 
 
@@ -55,6 +56,22 @@ def test_check_slice(spark):
     assert errors_set(out) == {("size", None, None), ("not_reviewed", 1, "frozen-1")}
 
 
+def test_check_slice_reads_repeated_rows(spark, tmp_path):
+    rows = [quote(k, "dev") for k in range(42)]
+    kinds = "id string, slice string, author string, source_type string, form string, channel string, reviewed boolean, text string"
+    write = lambda name, found: spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in found], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}.parquet")
+    write("quoting_dev", [*rows, rows[3], rows[5] | {"text": "quite another text"}, rows[3]])
+    write("quoting_frozen", [quote(100, "frozen"), quote(101, "frozen"), quote(101, "frozen")])
+    spark.createDataFrame([("a", "shadowing", "an attack that nobody quotes at all")], "id string, family string, text string").write.parquet(f"{tmp_path}/item.parquet")
+    out = queries.check_slice(spark, str(tmp_path)).collect()
+    assert {(r.rule, r.line_no, r.subject, r.other) for r in out if r.severity == "error"} == {("duplicate_id", k, f"dev-{n}", str(n + 1)) for k, n in ((43, 3), (44, 5), (45, 3))}
+    assert {(r.subject, r.value) for r in out if r.rule == "author"} == {("human", 42), ("nemotron-super", 0)}
+    write("quoting_dev", [rows[0], rows[1]])  # a second file
+    lines = queries._file_lines(spark, str(tmp_path), "quoting_dev").collect()
+    assert sorted(r.line_no for r in lines) == list(range(1, 48))
+    assert sum(r.severity == "error" and r.rule == "duplicate_id" for r in queries.check_slice(spark, str(tmp_path)).collect()) == 5
+
+
 def scored_rows(spark, errors=0, benign=200):
     rows = [(f"{f}/{k}", f, "tool_result", "attack", "gpt", "attack") for f in manifest.HELD_OUT for k in range(25)]
     rows += [(f"q{k}", "quoting", "other", "benign", "human", "error" if k < errors else "benign") for k in range(benign)]
