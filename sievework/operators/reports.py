@@ -139,41 +139,48 @@ def check_slice(slice_name: str, lines: DataFrame, other_lines: DataFrame, attac
     """REPORT of one quoting slice (lines) against the other (other_lines) and the held-out attacks (id, text, place).
 
     Pairs within the slice and across both count; problems of the other slice's lines don't. Overlaps name ids, never texts.
-    What several findings read is written first, so that the plan of the report, which the driver holds, stays small.
+    What several findings read is written first and what follows from counts is made in one pass, so that the plan of the report, which the driver
+    holds, stays small. Pairs within and across are looked for together.
     """
     rows = cut(checked(lines, QUOTING, validate.quoting_rules()))
     sound = rows.where(F.size("found") == 0)
-    elsewhere = sound.where(F.col("slice") != slice_name)
     template = F.col("id").startswith("TEMPLATE")
     mine = sound.where((F.col("slice") == slice_name) & ~template)
     unique = cut(validate.first_rows(mine.drop("found"), "id", "line_no"))
     rest = records(other_lines, QUOTING).where((F.col("slice") != slice_name) & ~template)
-    n = unique.agg(F.count(F.lit(1)).alias("n"))
-    collapsed = X.collapse(F.col("text"))
-    across = cut(similarity.cross_pairs(unique, rest, "id", collapsed))
-    near, overlaps = cut(_near(unique)), cut(validate.window_overlap(unique, attacks))
+    overlaps = cut(validate.window_overlap(unique, attacks))
     frozen = slice_name == "frozen"
-    size = F.col("n") != validate.FROZEN_N if frozen else ~F.col("n").between(*validate.DEV_RANGE)
-    unread = unique.where(~F.col("reviewed"))
+    errors = F.concat(F.transform("found", lambda f: F.struct(f["rule"].alias("rule"), f["subject"].alias("subject"), F.lit(None).cast("string").alias("other"))), F.when((F.size("found") == 0) & (F.col("slice") != slice_name), F.array(F.struct(F.lit("other_slice").alias("rule"), F.col("id").alias("subject"), F.col("slice").alias("other")))).otherwise(F.array()))
     return _all(
-        _line_errors(rows), _report(elsewhere, "error", "other_slice", F.col("line_no"), F.col("id"), F.col("slice")), _repeats(mine), near,
-        _report(across, "error", F.when(F.col("score") == 1.0, "exact_duplicate_across").otherwise("near_duplicate_across"), None, F.col("left_id"), F.col("right_id"), F.col("score")),
+        _report(rows.select("line_no", F.explode(errors).alias("f")), "error", F.col("f.rule"), F.col("line_no"), F.col("f.subject"), F.col("f.other")), cut(_repeats(mine)), cut(_near_slices(unique, rest)),
         _report(overlaps, "error", "overlap", None, F.col("row_id"), F.col("attack_id")),
-        _too_few(n, size),
-        *([_report(unread, "error", "not_reviewed", F.col("line_no"), F.col("id"))] if frozen else []),
-        _report(sound.where((F.col("slice") == slice_name) & template).agg(F.count(F.lit(1)).alias("n")).where("n > 0"), "note", "templates_ignored", None, None, None, F.col("n")),
-        _report(validate.share_warnings(unique, F.col("source_type"), validate.MAX_SOURCE_SHARE), "warning", "source_share", None, F.col("value"), None, F.col("count")),
-        _spread(unique),
-        *(_counted(unique, c, F.col(c), values) for c, values in (("author", validate.QUOTING_AUTHORS), ("source_type", validate.SOURCE_TYPES), ("form", validate.FORMS), ("channel", validate.CHANNELS))),
-        _counted(unique, "reviewed", F.col("reviewed").cast("string"), ("true", "false")),
+        *([_report(unique.where(~F.col("reviewed")), "error", "not_reviewed", F.col("line_no"), F.col("id"))] if frozen else []),
+        cut(_report(sound.where((F.col("slice") == slice_name) & template).agg(F.count(F.lit(1)).alias("n")).where("n > 0"), "note", "templates_ignored", None, None, None, F.col("n"))),
+        cut(_slice_figures(unique, frozen)),
     )
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Shares of forms and authors that are out of range."""
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("form") == "verbatim_quote").alias("verbatim"), F.count_if(F.col("author") == "human").alias("human")).where("n > 0")
-    share = F.col("verbatim") / F.col("n")
-    return _all(
-        _report(counts.where((share < validate.VERBATIM_RANGE[0]) | (share > validate.VERBATIM_RANGE[1])), "warning", "verbatim_share", None, None, None, F.col("verbatim")),
-        _report(counts.where(F.col("human") * 3 < F.col("n")), "warning", "human_share", None, None, None, F.col("human")),
-    )
+def _near_slices(mine: DataFrame, rest: DataFrame) -> DataFrame:
+    """REPORT of the pairs within a slice and across to the other, whose own pairs don't count. Ids of either are told apart by a letter before them."""
+    both = mine.select(F.concat(F.lit("m"), "id").alias("id"), "text").unionByName(rest.select(F.concat(F.lit("r"), "id").alias("id"), "text"))
+    pairs = similarity.self_pairs(both, "id", X.collapse(F.col("text"))).where(F.startswith("id_a", F.lit("m")))
+    kind = F.concat(F.when(F.col("score") == 1.0, "exact_duplicate").otherwise("near_duplicate"), F.when(F.startswith("id_b", F.lit("m")), "").otherwise("_across"))
+    return _report(pairs, "error", kind, None, F.substr("id_a", F.lit(2)), F.substr("id_b", F.lit(2)), F.col("score"))
+
+
+def _slice_figures(rows: DataFrame, frozen: bool) -> DataFrame:
+    """REPORT of what follows from counts of sound rows: size, shares that are out of range, and the summary, 0 for values that are absent."""
+    values = {"author": validate.QUOTING_AUTHORS, "source_type": validate.SOURCE_TYPES, "form": validate.FORMS, "channel": validate.CHANNELS, "reviewed": ("true", "false")}
+    name = {(c, v): f"{c}_{k}" for c, known in values.items() for k, v in enumerate(known)}
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).cast("string") == v).alias(x) for (c, v), x in name.items()))
+    n, many = F.col("n"), lambda c, v: F.col(name[c, v])
+    finding = lambda severity, rule, subject, value: F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(None).cast("long").alias("line_no"), F.lit(subject).cast("string").alias("subject"), F.lit(None).cast("string").alias("other"), value.cast("double").alias("value"))
+    verbatim, human = many("form", "verbatim_quote"), many("author", "human")
+    found = [
+        F.when(n != validate.FROZEN_N if frozen else ~n.between(*validate.DEV_RANGE), finding("error", "size", None, n)),
+        *(F.when(many("source_type", v) / F.greatest(n, F.lit(1)) > validate.MAX_SOURCE_SHARE, finding("warning", "source_share", v, many("source_type", v))) for v in validate.SOURCE_TYPES),
+        F.when((n > 0) & ~(verbatim / F.greatest(n, F.lit(1))).between(*validate.VERBATIM_RANGE), finding("warning", "verbatim_share", None, verbatim)),
+        F.when((n > 0) & (human * 3 < n), finding("warning", "human_share", None, human)),
+        *(finding("summary", c, v, F.col(x)) for (c, v), x in name.items()),
+    ]
+    return counts.select(F.inline(F.array_compact(F.array(*found))))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import codes as C
 from ..functions import text as X
 from ..functions.batches import map_arrow, pieces
-from ..functions.bitmaps import bitmap, gathered, within
+from ..functions.bitmaps import gathered, within
 from ..session import cut
 
 # Closed vocabularies and bounds of the two kinds of own records.
@@ -22,7 +22,9 @@ SHADOWING_FIELDS, SHADOWING_OPTIONAL = ("id", "author", "channel", "family", "te
 QUOTING_FIELDS = ("id", "author", "slice", "source_type", "form", "channel", "reviewed", "text")
 TEMPLATE, MIN_N, MIN_TECHNIQUES, MAX_TECHNIQUE_SHARE = "TEMPLATE", 35, 5, 0.30
 FROZEN_N, DEV_RANGE, MAX_SOURCE_SHARE, VERBATIM_RANGE, WINDOW = 200, (40, 60), 0.20, (0.40, 0.60), 30
-MANY = 1 << 20  # stretches of attacks from which on those that no row has are held back
+ANCHOR = 16  # characters by which stretches are brought together
+MANY = 1 << 17  # anchors of attacks from which on those that no row has are held back
+ANCHORS, SENT = 1 << 18, 1 << 19  # anchors of attacks for each task that compares stretches; bytes of text at a time
 
 
 def _one_of(name: str, values: tuple[str, ...]) -> Column:
@@ -116,42 +118,138 @@ def _stretches(codes: C.Codes, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, pos, a.view(np.int64), b.view(np.int64)
 
 
-def windows(keys: DataFrame, size: int = WINDOW, wanted=None) -> DataFrame:
-    """id, h, m, pos: hashes (128 bits in all) and place of the stretches of collapsed texts (id, key); only the wanted ones."""
+def _sections(codes: C.Codes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place, length and anchor of the sections of texts: of stretches that follow one another and have one anchor.
+
+    A stretch's anchor is the least hash of its runs of ANCHOR characters, so equal stretches have one anchor wherever they stand. A text
+    shorter than a stretch is one section.
+    """
+    cp, off = codes
+    sizes = np.diff(off)
+    short = np.flatnonzero(sizes < size)
+    found = [(short, np.zeros(len(short), np.int64), sizes[short], C.hashes(codes, 95)[short])]
+    count = np.maximum(sizes - size + 1, 0)
+    if count.any():
+        run = min(ANCHOR, size)
+        least, span, wide = C.window_hashes(cp, np.arange(len(cp) - run + 1), run, 93), 1, size - run + 1
+        while span < wide:
+            step = min(span, wide - span)
+            least, span = np.minimum(least[:-step], least[step:]), span + step
+        row = np.repeat(np.arange(len(sizes)), count)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        anchor = least[off[:-1][row] + pos]
+        begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+        found.append((row[begin], pos[begin], np.diff(np.append(begin, len(row))) + size - 1, anchor[begin]))
+    row, pos, length, anchor = (np.concatenate(x) for x in zip(*found))
+    return row, pos, length, C.mix(anchor, 94)  # least hashes are small ones
+
+
+def sections(keys: DataFrame, buckets: int, size: int = WINDOW, wanted=None) -> DataFrame:
+    """bucket, id, place, part: the sections of collapsed texts (id, key), in buckets by their anchors; only the wanted ones."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        row, pos, a, b = _stretches(C.decode(piece.column("key")), size)
-        k = slice(None) if wanted is None else within(wanted.value, a.view(np.uint64))
-        return pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(row[k])), pa.array(a[k]), pa.array(b[k]), pa.array(pos[k].astype(np.int32))], ["id", "h", "m", "pos"])
+        cp, off = codes = C.decode(piece.column("key"))
+        row, pos, length, anchor = _sections(codes, size)
+        if wanted is not None:
+            k = within(wanted.value, anchor)
+            row, pos, length, anchor = row[k], pos[k], length[k], anchor[k]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(off[row] + pos - (ends - length), length)
+        part = C.encode(C.Codes(cp[at], np.concatenate([[0], ends]).astype(np.int64)))
+        bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), piece.column("id").take(pa.array(row)), pa.array(pos.astype(np.int32)), part], ["bucket", "id", "place", "part"])
 
-    schema = T.StructType([T.StructField("id", keys.schema["id"].dataType), *T.StructType.fromDDL("h long, m long, pos int").fields])
-    return map_arrow(keys.select("id", "key"), run, schema, "key")
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("id", keys.schema["id"].dataType), *T.StructType.fromDDL("place int, part string").fields])
+    return map_arrow(keys.select("id", "key"), run, schema, "key", size=SENT)
 
 
-def _stretch_bits(keys: DataFrame, size: int, wanted=None) -> np.ndarray:
-    """Bitmap of the first hashes of all stretches of collapsed texts (id, key); only of the wanted ones."""
+def _anchor_bits(keys: DataFrame, size: int, wanted=None) -> np.ndarray:
+    """Bitmap of the anchors of collapsed texts (id, key); only of the wanted ones."""
 
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        found = [_stretches(C.decode(p.column("key")), size)[2].view(np.uint64) for p in pieces(batch, "key")]
+        found = [np.unique(_sections(C.decode(p.column("key")), size)[3]) for p in pieces(batch, "key", size=SENT)]
         found = np.concatenate(found) if found else np.zeros(0, np.uint64)
         return found if wanted is None else found[within(wanted.value, found)]
 
     return gathered(keys.select("key"), hashes)
 
 
+class _Known:
+    """Stretches by their two hashes, each with the number of the first section that has it; sections are added in order."""
+
+    def __init__(self):
+        self.a, self.b, self.first, self.new = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def add(self, a: np.ndarray, b: np.ndarray, section: np.ndarray) -> None:
+        self.new.append((a, b, section))
+        if sum(len(x[0]) for x in self.new) > max(1 << 20, len(self.a)):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.new:
+            a, b, first = (np.concatenate(x) for x in zip((self.a, self.b, self.first), *self.new))
+            order = np.argsort(a, kind="stable")
+            a, b, first = a[order], b[order], first[order]
+            k = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+            self.a, self.b, self.first, self.new = a[k], b[k], first[k], []
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first section that has each stretch, or -1."""
+        self.settle()
+        out, at, asked = np.full(len(a), -1), np.searchsorted(self.a, a), np.arange(len(a))
+        while len(asked):
+            asked = asked[at[asked] < len(self.a)]
+            asked = asked[self.a[at[asked]] == a[asked]]
+            hit = self.b[at[asked]] == b[asked]
+            out[asked[hit]] = self.first[at[asked[hit]]]
+            asked = asked[~hit]  # another stretch with that first hash
+            at[asked] += 1
+        return out
+
+
 def window_overlap(rows: DataFrame, attacks: DataFrame, size: int = WINDOW) -> DataFrame:
     """row_id, attack_id: each row that shares a stretch with an attack, by its first stretch that does; of attacks, the first
     in order (attacks: id, text, place).
 
-    A bitmap of the attacks' stretches holds back nearly all stretches of the rows before the shuffle, and one of what is left those of
-    many attacks. Attack stretches are unique in the join, so one that every text has meets one row.
+    Stretches that follow one another and have one anchor go through the shuffle together, as the text they stand in, so a
+    stretch takes some four bytes there. A bitmap of the attacks' anchors holds back those of the rows that no attack has, and one of what is left those of
+    many attacks. A task compares the stretches themselves; those of the attacks are kept once each.
     """
     key = X.collapse(X.normalize(F.col("text")))
-    send = rows.sparkSession.sparkContext.broadcast
+    spark = rows.sparkSession
+    send = spark.sparkContext.broadcast
     attack_keys = cut(attacks.where("text is not null").select(F.struct("place", "id").alias("id"), key.alias("key")))
     texts = cut(rows.where("id is not null and text is not null").select("id", key.alias("key")))
-    rough = _stretch_bits(attack_keys, size)
-    shared = send(_stretch_bits(texts, size, send(rough))) if int(np.bitwise_count(rough).sum()) >= MANY else None
-    mine = cut(windows(attack_keys, size, shared).groupBy("h", "m").agg(F.min("id").alias("who")).select("h", "m", "who"))
-    wanted = send(bitmap(mine, "h"))
-    return windows(texts, size, wanted).join(mine, ["h", "m"]).groupBy(F.col("id").alias("row_id")).agg(F.min_by(F.col("who.id"), "pos").alias("attack_id"))
+    rough = _anchor_bits(attack_keys, size)
+    wanted = send(rough)
+    anchors = int(np.bitwise_count(rough).sum())
+    shared = send(_anchor_bits(texts, size, wanted)) if anchors >= MANY else None
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), anchors // ANCHORS + 1)
+    who, row_id = attack_keys.schema["id"].dataType, texts.schema["id"].dataType
+    mine = sections(attack_keys, buckets, size, shared).select("bucket", F.lit(0).alias("side"), F.col("id").alias("who"), F.lit(None).cast(row_id).alias("id"), "place", "part")
+    theirs = sections(texts, buckets, size, wanted if shared is None else shared).select("bucket", F.lit(1).alias("side"), F.lit(None).cast(who).alias("who"), "id", "place", "part")
+
+    def run(batches):
+        known, names, total = _Known(), [], 0
+        for batch in batches:
+            for p in pieces(batch, "part", size=SENT):
+                side = np.asarray(p.column("side"))
+                if many := int((side == 0).sum()):  # attacks come first, in order
+                    row, _, a, b = _stretches(C.decode(p.column("part").slice(0, many)), size)
+                    known.add(a, b, row + total)
+                    names.append(p.column("who").slice(0, many))
+                    total += many
+                p = p.slice(many)
+                if p.num_rows and total:
+                    if len(names) > 1:
+                        names = [pa.concat_arrays(names)]
+                    row, pos, a, b = _stretches(C.decode(p.column("part")), size)
+                    section = known.find(a, b)
+                    hits = np.flatnonzero(section >= 0)
+                    hits = hits[np.unique(row[hits], return_index=True)[1]]  # the first of each section
+                    at = pa.array(row[hits])
+                    yield pa.RecordBatch.from_arrays([p.column("id").take(at), pa.array((np.asarray(p.column("place"))[row[hits]] + pos[hits]).astype(np.int32)), names[0].take(pa.array(section[hits]))], ["id", "place", "who"])
+
+    schema = T.StructType([T.StructField("id", row_id), T.StructField("place", T.IntegerType()), T.StructField("who", who)])
+    met = mine.unionByName(theirs).repartitionById(buckets, "bucket").sortWithinPartitions("side", "who").drop("bucket").mapInArrow(run, schema)
+    return met.groupBy(F.col("id").alias("row_id")).agg(F.min(F.struct("place", "who")).alias("first")).select("row_id", F.col("first.who.id").alias("attack_id"))

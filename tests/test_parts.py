@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sievework.functions import codes as C
 from sievework.operators import parts, similarity, validate
 
 from .test_operators import score
@@ -129,3 +130,40 @@ def test_overlap_with_many_attacks(spark, monkeypatch):
     texts = spark.createDataFrame([("1", "so the quick  brown fox jumps over the moon"), ("2", "nothing of that sort stands in here at all"), ("3", "Tiny"), ("4", "")], "id string, text string")
     assert {tuple(r) for r in validate.window_overlap(texts, attacks).collect()} == {("1", "b"), ("3", "s")}
     assert validate.window_overlap(texts.where("id = '2'"), attacks).count() == 0 and validate.window_overlap(texts, attacks.limit(0)).count() == 0
+
+
+def test_sections_hold_every_stretch_once():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab c", k=rng.choice([0, 3, 29, 30, 31, 80, 300]))) for _ in range(200)] + ["a" * 100, "", "\u00e9\U0001d11e" * 40]
+    anchors, got = {}, []
+    for row, pos, length, anchor in zip(*(x.tolist() for x in validate._sections(C.decode(pa.array(texts)), 30))):
+        part = texts[row][pos : pos + length]
+        for k in range(max(1, length - 29)):
+            assert anchors.setdefault(part[k : k + 30], anchor) == anchor  # equal stretches meet in one bucket
+            got.append((row, pos + k))
+    assert sorted(got) == [(row, k) for row, t in enumerate(texts) for k in range(max(1, len(t) - 29))]
+    known, one = validate._Known(), np.array([7, 7, 9, 7], np.int64)
+    known.add(one, np.array([1, 2, 3, 1]), np.array([0, 1, 1, 2]))
+    known.settle()
+    known.add(one[:2], np.array([2, 5]), np.array([3, 4]))
+    assert known.find(np.array([7, 7, 7, 7, 9, 9, 8]), np.array([1, 2, 5, 6, 3, 4, 1])).tolist() == [0, 1, 4, -1, 1, -1, -1]
+    assert validate._Known().find(one, one).tolist() == [-1] * 4
+
+
+def test_overlap_as_by_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    phrases = ["".join(rng.choices("abc de", k=rng.choice([12, 30, 45]))) for _ in range(12)]
+    text = lambda: " ".join(rng.choice(phrases) if rng.random() < 0.5 else "".join(rng.choices("fghij", k=rng.choice([4, 25]))) for _ in range(rng.choice([1, 1, 4, 9])))
+    attacks, rows = [(f"a{k}", text(), rng.randrange(9)) for k in range(60)], [(f"r{k}", text()) for k in range(120)]
+    squash = lambda t: " ".join(t.split())
+    cuts = lambda t: [t[k : k + 30] for k in range(max(1, len(t) - 29))]
+    first = {}
+    for name, t, _ in sorted(attacks, key=lambda x: (x[2], x[0])):
+        for x in cuts(squash(t)):
+            first.setdefault(x, name)
+    want = {(name, next(first[x] for x in cuts(squash(t)) if x in first)) for name, t in rows if any(x in first for x in cuts(squash(t)))}
+    assert 20 < len(want) < 120
+    for many in (1, 1 << 17):
+        monkeypatch.setattr(validate, "MANY", many)
+        got = validate.window_overlap(spark.createDataFrame(rows, "id string, text string"), spark.createDataFrame(attacks, "id string, text string, place int"))
+        assert {tuple(r) for r in got.collect()} == want

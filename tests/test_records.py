@@ -56,6 +56,18 @@ def test_check_slice(spark):
     assert errors_set(out) == {("size", None, None), ("not_reviewed", 1, "frozen-1")}
 
 
+def test_report_of_a_slice_has_a_small_plan(spark):
+    attacks = spark.createDataFrame([("a1", "Quite another attack of thirty letters and more", 1)], "id string, text string, place int")
+    rows = [quote(k, "dev", source_type="docs", form="discussion", author="nemotron-super") for k in range(6)]
+    out = reports.check_slice("dev", lines_of(spark, [*rows, quote(6, "frozen", id="dev-0", text=rows[0]["text"])]), lines_of(spark, [quote(6, "frozen", id="dev-0", text=rows[0]["text"])]), attacks)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()  # the driver holds it, and as text with each change of it
+    assert plan.count("Relation [") <= 8 and "Join" not in plan and "Aggregate" not in plan
+    assert {(r.rule, r.subject, r.value) for r in out.collect() if r.severity == "warning"} == {("source_share", "docs", 6), ("verbatim_share", None, 0), ("human_share", None, 0)}
+    assert {tuple(r)[1:5] for r in out.where("severity = 'error'").collect()} == {("size", None, None, None), ("other_slice", 7, "dev-0", "frozen"), ("exact_duplicate_across", None, "dev-0", "dev-0")}
+    nothing = {(r.rule, r.subject, r.value) for r in reports.check_slice("dev", lines_of(spark, []), lines_of(spark, []), attacks).collect()}
+    assert ("size", None, 0) in nothing and ("author", "human", 0) in nothing and len(nothing) == 20
+
+
 def test_check_slice_reads_repeated_rows(spark, tmp_path):
     rows = [quote(k, "dev") for k in range(42)]
     kinds = "id string, slice string, author string, source_type string, form string, channel string, reviewed boolean, text string"
